@@ -1,0 +1,53 @@
+"""Cheaper-and-better pruning: which rows could still be part of one of the best choices."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def prune_dominated(
+    df: DataFrame, group: Sequence[str], cost: str, gain: str, tie: str, depth: int,
+    name: str = "dominators",
+) -> DataFrame:
+    """Keep the rows with fewer than ``depth`` dominators in their group, and tell how many they have.
+
+    A dominator costs no more and comes earlier in (gain descending, cost, tie). No pairs are formed:
+    first the ``depth`` best rows per cost are kept (each task cuts its own share before the shuffle),
+    which is exact because a dropped row has that many dominators at its own cost. What is left per
+    group is at most ``depth`` rows per distinct cost, and one ordered pass over it by rising cost,
+    carrying the best ``depth`` rows so far, counts the dominators.
+    """
+    rows = [c for c in df.columns]
+    best_first = Window.partitionBy(*group, cost).orderBy(F.col(gain).desc(), F.col(tie).asc())
+    thin = df.withColumn("_n", F.row_number().over(best_first)).where(F.col("_n") <= depth).drop("_n")
+    entry = F.struct(
+        F.col(cost).alias("cost"), (-F.col(gain)).alias("loss"), F.col(tie).alias("tie"),
+        F.struct(*rows).alias("row"),
+    )
+    listed = thin.groupBy(*group).agg(F.sort_array(F.collect_list(entry)).alias("_list"))
+
+    def rank_key(e):
+        return F.struct(e["loss"].alias("loss"), e["cost"].alias("cost"), e["tie"].alias("tie"))
+
+    def none_of(array):
+        return F.filter(array, lambda _: F.lit(False))
+
+    start = F.struct(
+        none_of(F.transform("_list", rank_key)).alias("best"),
+        none_of(F.transform("_list", lambda e: F.struct(e["row"].alias("row"), F.lit(0).alias("count")))).alias("kept"),
+    )
+
+    def step(state, e):
+        key = rank_key(e)
+        count = F.size(F.filter(state["best"], lambda b: b < key))
+        return F.struct(
+            F.slice(F.array_sort(F.array_append(state["best"], key)), 1, depth).alias("best"),
+            F.when(count < depth, F.array_append(state["kept"], F.struct(e["row"].alias("row"), count.alias("count"))))
+            .otherwise(state["kept"]).alias("kept"),
+        )
+
+    kept = listed.select(F.explode(F.aggregate("_list", start, step)["kept"]).alias("_k"))
+    return kept.select("_k.row.*", F.col("_k.count").alias(name))
