@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.dominance import prune_dominated
-from ..session import cut_lineage
+from ..session import cut_lineage, evenly
 
 # Contest rules.
 CAP = 50000
@@ -82,15 +82,12 @@ def candidate_pool(pool: DataFrame, slate, fixed, eligible, extra: int, best: in
     depth = {pos: n + (extra if pos in eligible else 0) + best - 1 for pos, n in fixed.items()}
     priced = pool.where(
         F.col("position").isin(list(fixed)) & (F.col("salary") <= cap) & F.col("fpts_proj").isNotNull()
-    ).select(
-        *slate, "position", "player", F.col("salary").cast("bigint").alias("salary"),
-        F.round("fpts_proj", 6).alias("gain"),
-    )
+    ).withColumn("gain", F.round("fpts_proj", 6))
     kept = prune_dominated(priced, [*slate, "position"], "salary", "gain", "player", max(depth.values()))
     allowed = F.lit(False)
     for pos, d in depth.items():
         allowed = allowed | ((F.col("position") == pos) & (F.col("dominators") < d))
-    return cut_lineage(kept.where(allowed))
+    return cut_lineage(evenly(kept.where(allowed), *slate, "position"))
 
 
 def best_lineups(
@@ -144,7 +141,7 @@ def best_lineups(
         if step < len(order) - 1:
             state = _needed(state, [*slate, "extra"], best)
     whole = state.where(F.col("extra") == extra)
-    return _with_members(_ranked(whole, slate, best), pool, slate)
+    return _with_members(_ranked(whole, slate, best), candidates.drop("gain", "dominators"), slate)
 
 
 def _ranked(whole: DataFrame, slate, best: int) -> DataFrame:
@@ -196,16 +193,14 @@ def best_showdown_lineups(
     """
     slate = list(slate)
     keys = [*slate, "team"]
-    priced = pool.where((F.col("salary") <= cap) & F.col("fpts_proj").isNotNull()).select(
-        *keys, "position", "player", "player_id", F.col("salary").cast("bigint").alias("salary"),
-        F.round("fpts_proj", 6).alias("gain"),
-    )
-    kept = cut_lineage(
-        prune_dominated(priced, [*keys, "position"], "salary", "gain", "player", flex + best)
+    priced = pool.where((F.col("salary") <= cap) & F.col("fpts_proj").isNotNull()).withColumn(
+        "gain", F.round("fpts_proj", 6)
     )
+    kept = prune_dominated(priced, [*keys, "position"], "salary", "gain", "player", flex + best)
+    kept = cut_lineage(evenly(kept, *keys))
     # Inside a side a player is known by player_id, the same in both roles.
-    known = kept.withColumn("player", F.col("player_id"))
-    flexes = known.where(F.col("position") == "FLEX").drop("position", "player_id")
+    known = kept.select(*keys, "position", F.col("player_id").alias("player"), "salary", "gain", "dominators")
+    flexes = known.where(F.col("position") == "FLEX").drop("position")
     captains = known.where(F.col("position") == "CPTN").select(
         *[F.col(k).alias(f"_{k}") for k in keys], F.col("player").alias("captain"), F.col("salary").alias("_salary"),
         F.col("gain").alias("_gain"), F.col("dominators").alias("_dominators"),
@@ -258,4 +253,4 @@ def best_showdown_lineups(
         *slate, "lineup", "lineup_points", "lineup_salary",
         F.substring("_member", 1, 4).alias("position"), F.expr("substring(_member, 6)").alias("player_id"),
     )
-    return members.join(pool, [*slate, "player_id", "position"])
+    return members.join(kept.drop("gain", "dominators"), [*slate, "player_id", "position"])

@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.na import floor_at, is_in, na_sum, na_sum_positive, safe_ratio
+from ..functions.na import floor_at, is_in, safe_ratio
 from ..functions.rand import normal
 from ..operators.joins import natural_join, salted_join
 from ..operators.ordering import asc_last, desc_last, positions
 from ..operators.reshape import with_keys
+from ..session import evenly
 
 FREE_AGENT = "FA"
 
@@ -61,13 +62,46 @@ def draw_scores(
     key=("name",), value: str = "projection",
 ) -> DataFrame:
     """One normal draw per player and slate, raised to the floor; a player without a projection stays null."""
-    repeated = with_keys(players, "slate", slates)
+    repeated = with_keys(evenly(players), "slate", slates)
     drawn = normal(seed, ["slate", *key], value, F.col("std_dev") * (1.0 + randomness))
     return repeated.withColumn(value, floor_at(drawn, low))
 
 
-def _spread_sum(c: str, positive: bool) -> Column:
-    return na_sum_positive(c) if positive else na_sum(c)
+def _team_sums(players: DataFrame, slate, own: str, base: str, passer_positive: bool) -> DataFrame:
+    """Per team: its passers' total, the passers' total of the team it faces, and its other players' totals.
+
+    One pass over the players: sums per (team, opponent) first, and each of those then counts once for its
+    own team and once for the opponent. A total is null when any of its scores is missing; a team without
+    passers has no passers' total.
+    """
+    is_qb = F.col("pos") == "QB"
+    not_qb = F.col("pos") != "QB"
+
+    def total(cond: Column, c: str, name: str) -> list[Column]:
+        x = F.when(cond, F.col(c))
+        return [
+            F.sum(F.when(x > 0, x).otherwise(0.0)).alias(f"_{name}_positive"), F.sum(x).alias(f"_{name}_sum"),
+            F.count(F.when(cond, 1)).alias(f"_{name}_n"), F.count(x).alias(f"_{name}_known"),
+        ]
+
+    sides = players.groupBy(*slate, "team", "opp").agg(*total(is_qb, base, "qb"), *total(not_qb, own, "rest"))
+    own_side = F.struct(F.col("team").alias("_of"), F.lit(True).alias("_own"))
+    other_side = F.struct(F.col("opp").alias("_of"), F.lit(False).alias("_own"))
+    spread = sides.withColumn("_side", F.explode(F.array(own_side, other_side))).select(
+        "*", "_side._of", "_side._own"
+    )
+
+    def gather(cond: Column, name: str, positive: bool) -> Column:
+        summed = F.sum(F.when(cond, F.col(f"_{name}_{'positive' if positive else 'sum'}")))
+        seen = F.sum(F.when(cond, F.col(f"_{name}_n")).otherwise(0))
+        known = F.sum(F.when(cond, F.col(f"_{name}_known")).otherwise(0))
+        return F.when((seen > 0) & (seen == known), summed)
+
+    mine, theirs = F.col("_own"), ~F.col("_own")
+    return spread.groupBy(*slate, F.col("_of").alias("team")).agg(
+        gather(mine, "qb", passer_positive).alias("qb_proj"), gather(theirs, "qb", passer_positive).alias("_facing"),
+        gather(mine, "rest", True).alias("_positive"), gather(mine, "rest", False).alias("_all"),
+    )
 
 
 def link_to_passers(
@@ -82,21 +116,10 @@ def link_to_passers(
     """
     slate = list(slate)
     base = base or own
-    team = [*slate, "team"]
-    passers = players.where(F.col("pos") == "QB")
-    passer = passers.groupBy(*team).agg(_spread_sum(base, rule.passer_positive).alias("qb_proj"))
-    # All() is false for a null position, as is the comparison with "QB".
-    group = players.where(F.col("pos") != "QB").groupBy(*team).agg(
-        na_sum_positive(own).alias("_positive"), na_sum(own).alias("_all")
-    )
-    team_sums = natural_join(group, passer, "left", team)
-    joined = salted_join(players, team_sums, team, list(key))
-    if rule.against:
-        facing = (
-            passers.groupBy(*slate, "opp").agg(_spread_sum(base, rule.passer_positive).alias("_facing"))
-            .withColumnRenamed("opp", "team")
-        )
-        joined = salted_join(joined, facing, team, list(key))
+    if "opp" not in players.columns:
+        players = players.withColumn("opp", F.lit(None).cast("string"))
+    sums = _team_sums(players, slate, own, base, rule.passer_positive)
+    joined = salted_join(players, sums, [*slate, "team"], list(key))
     score = F.col(base)
 
     def floored(pos: str) -> Column:
@@ -108,10 +131,9 @@ def link_to_passers(
         for pos, weight in weights.items():
             part = safe_ratio(own, total)
             new = new.when((F.col("pos") == pos) & hired, F.col("qb_proj") * part * weight + score * (1 - weight))
-    for pos, (a, b) in rule.fixed.items():
-        new = new.when((F.col("pos") == pos) & hired, F.col("qb_proj") * a + floored(pos) * b)
-    for pos, (a, b) in rule.against.items():
-        new = new.when((F.col("pos") == pos) & hired, F.col("_facing") * a + floored(pos) * b)
+    for passer, weights in (("qb_proj", rule.fixed), ("_facing", rule.against)):
+        for pos, (a, b) in weights.items():
+            new = new.when((F.col("pos") == pos) & hired, F.col(passer) * a + floored(pos) * b)
     linked = [*rule.share_positive, *rule.share_all, *rule.fixed, *rule.against]
     covered = is_in("pos", rule.unchanged) | (is_in("pos", linked) & F.coalesce(hired, F.lit(False)))
     return joined.where(covered).withColumn("new_proj", new).drop("qb_proj", "_positive", "_all", "_facing")

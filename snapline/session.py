@@ -51,3 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     every input of it is a pure function of the data, so recomputing is safe, only slower.
     """
     return df.checkpoint(eager=True) if _checkpoint_ready(df.sparkSession) else df
+
+
+def parallelism(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def evenly(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table over all cores before a step that multiplies its rows.
+
+    Sizes in bytes say nothing about such a step, so Spark would leave it on a few tasks.
+    """
+    return df.repartition(parallelism(df.sparkSession), *keys)

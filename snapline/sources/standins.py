@@ -52,7 +52,8 @@ def order_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "run").when(F.col("l_returnflag") == "A", "pass").otherwise("field_goal")
         .alias("play_type"),
         F.when(F.col("l_tax") < 0.065, 1).otherwise(0).alias("qb_dropback"),
-        F.col("l_suppkey").alias("passer_id"), F.col("l_quantity").cast("int").alias("yardline_100"),
+        F.when(F.col("l_suppkey") % 19 != 5, F.col("l_suppkey")).alias("passer_id"),
+        F.col("l_quantity").cast("int").alias("yardline_100"),
         F.floor((F.col("l_linenumber") - 1) / 2).cast("int").alias("drive"),
         (F.col("l_quantity") - 10).alias("yards_gained"), (F.col("l_discount") * 60 - 1).alias("ep"),
         (F.col("l_extendedprice") * (F.col("l_discount") - 0.05) / 1000).alias("epa"),
@@ -95,7 +96,7 @@ def player_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 7, "POST").otherwise("REG").alias("season_type"),
         F.year("l_shipdate").alias("season"),
         (F.floor((F.dayofyear("l_shipdate") - 1) / 21) + 1).cast("int").alias("week"),
-        (F.col("l_quantity") % 11).cast("int").alias("targets"), (F.col("l_linenumber") % 4).cast("int").alias("carries"),
+        (F.col("l_quantity") % 11).cast("int").alias("targets"), F.when(F.col("l_partkey") % 997 != 3, F.col("l_linenumber") % 4).alias("carries"),
         F.when(qb, F.col("l_quantity").cast("int")).otherwise(0).alias("attempts"),
         F.when(F.col("l_quantity") > 45, 1).otherwise(0).alias("receiving_tds"),
         F.when(F.col("l_partkey") % 13 == 0, 1).otherwise(0).alias("rushing_tds"),
@@ -117,7 +118,7 @@ def expected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.dayofmonth("ts")
     return e.select(
         F.year("ts").cast("string").alias("season"), F.ceil(day / 7).cast("int").alias("week"),
-        u.alias("player_id"), F.concat(F.lit("Player "), u.cast("string")).alias("full_name"),
+        u.cast("string").alias("player_id"), F.concat(F.lit("Player "), u.cast("string")).alias("full_name"),
         F.element_at(_positions(), (u % 4 + 1).cast("int")).alias("position"),
         F.when(F.col("event_type") == "view", "LA").otherwise(F.upper("event_type")).alias("posteam"),
         (F.col("value") * 3).alias("pass_yards_gained_exp"), F.col("value").alias("rec_yards_gained_exp"),
@@ -233,6 +234,99 @@ def known_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def salaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Salaries from customers, keyed like the stat tables; one in 29 costs nothing."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        F.concat(F.lit("P"), k.cast("string")).alias("name"),
+        F.element_at(_positions(), (k % 4 + 1).cast("int")).alias("position"),
+        F.when(k % 17 != 0, F.concat(F.lit("T"), (k % 32).cast("string"))).alias("team"),
+        F.concat(F.lit("T"), ((k + 5) % 32).cast("string")).alias("opponent"),
+        F.when(k % 29 == 0, 0).otherwise(3000 + 100 * (k % 60)).cast("int").alias("salary"),
+    )
+
+
+def _point_teams():
+    return F.array(*[F.lit(t) for t in ("LAR", "CLICK", "SIGNUP", "PURCHASE", "ERROR")])
+
+
+def blend_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slate from parts under the names and teams of the expected-points view."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        F.concat(F.lit("Player "), k.cast("string")).alias("name"),
+        F.element_at(_point_teams(), (k % 5 + 1).cast("int")).alias("team"),
+        F.element_at(_point_teams(), ((k + 1) % 5 + 1).cast("int")).alias("opp"),
+        (3000 + 100 * (k % 60)).cast("int").alias("salary"),
+        F.when(F.col("p_type") == "PROMO", "DST").otherwise(F.element_at(_positions(), (k % 4 + 1).cast("int"))).alias("position"),
+        (F.col("p_size") / 2).alias("projection"), (F.col("p_size") / 6).alias("std_dev"),
+    )
+
+
+def blend_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        F.concat(F.lit("R"), k.cast("string")).alias("gsis_id"),
+        F.concat(F.lit("Player "), k.cast("string")).alias("full_name"),
+        F.element_at(_positions(), (k % 4 + 1).cast("int")).alias("position"),
+        F.when(k % 5 == 0, "LA").otherwise(F.element_at(_point_teams(), (k % 5 + 1).cast("int"))).alias("team"),
+    )
+
+
+def _grid_name(key):
+    letters = F.translate(key.cast("string"), "0123456789", "abcdefghij")
+    return F.when(key == 49, "49ers").otherwise(F.concat(F.lit("Player "), letters))
+
+
+def lineup_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lineup per order, its slots filled from the parts of the order's lines."""
+    low, high = F.min("l_partkey"), F.max("l_partkey")
+
+    def pick(agg, cond, other):
+        return F.coalesce(agg(F.when(cond, F.col("l_partkey"))), other)
+
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    slots = {
+        "qb": low, "rb_1": high, "rb_2": pick(F.min, flag == "R", low), "wr_1": pick(F.min, flag == "A", low),
+        "wr_2": pick(F.min, flag == "N", low), "wr_3": pick(F.max, flag == "R", high),
+        "te": pick(F.max, flag == "A", high), "flex": pick(F.max, flag == "N", high),
+        "dst": pick(F.min, status == "O", low),
+    }
+    keys = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("number")).agg(
+        *[agg.alias(slot) for slot, agg in slots.items()]
+    )
+    labels = [
+        F.concat_ws(" ", _grid_name(F.col(slot)), (F.col(slot) % 90 + 10).cast("string")).alias(slot) for slot in slots
+        if slot != "dst"
+    ]
+    dst = F.when(
+        F.col("number") % 50 != 0, F.concat_ws(" ", _grid_name(F.col("dst")), (F.col("dst") % 90 + 10).cast("string"))
+    ).alias("dst")
+    return keys.select("number", *labels, dst)
+
+
+def grid_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _player_columns(table(spark, sf_dir, "part"))
+    return p.select(_grid_name(F.col("p_partkey")).alias("player"), F.col("position").alias("pos"), "team")
+
+
+def grid_projections(spark: SparkSession, sf_dir: str, draws: int = 8) -> DataFrame:
+    """Wide table of simulated scores, one column per draw."""
+    p = _player_columns(table(spark, sf_dir, "part"))
+    key = F.col("p_partkey")
+
+    def draw(k: int):
+        x = F.col("p_size") / 2 + ((key * k * 37) % 101 - 50) / 10
+        return (F.when(key % 61 != 7, x) if k == 3 else x).alias(f"number{k}")
+
+    return p.select(
+        _grid_name(key).alias("player"), F.col("position").alias("pos"), *[draw(k) for k in range(1, draws + 1)]
+    )
+
+
 def season_projections(spark: SparkSession, sf_dir: str, weeks: int = 4) -> DataFrame:
     """Ranked weekly projections from parts."""
     p = _player_columns(table(spark, sf_dir, "part"))
