@@ -113,8 +113,10 @@ def round_numeric(df, digits: int = 0, skip=()):
 
 def percent_text(x: Column | str, digits: int = 1) -> Column:
     """'12.3%'; a blank for a null."""
-    return F.coalesce(F.format_string(f"%.{digits}f%%", rounded(as_col(x) * 100, digits)), F.lit(""))
+    x = as_col(x)
+    return F.when(x.isNull(), "").otherwise(F.format_string(f"%.{digits}f%%", rounded(x * 100, digits)))
 
 
 def number_text(x: Column | str, digits: int = 1) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", rounded(x, digits)), F.lit(""))
+    x = as_col(x)
+    return F.when(x.isNull(), "").otherwise(F.format_string(f"%.{digits}f", rounded(x, digits)))

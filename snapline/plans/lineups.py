@@ -149,7 +149,7 @@ def _ranked(whole: DataFrame, slate, best: int) -> DataFrame:
     order = [F.col("total").desc(), F.col("cost").asc(), F.array_join("members", "|").asc()]
     number = F.row_number().over(Window.partitionBy(*slate).orderBy(*order))
     return whole.withColumn("lineup", number).where(F.col("lineup") <= best).select(
-        *slate, "lineup", F.col("total").alias("lineup_points"), F.col("cost").alias("lineup_salary"), "members"
+        *slate, "lineup", F.col("total").alias("lineup_points"), F.col("cost").cast("bigint").alias("lineup_salary"), "members"
     )
 
 

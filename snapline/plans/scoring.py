@@ -18,18 +18,16 @@ MEMBER = ["player", "team", "position", "salary"]
 def score_in_slates(draws: DataFrame, members: DataFrame, lineup, sim: str = "sim", digits: int | None = 2) -> DataFrame:
     """Score of every lineup in every simulated slate.
 
-    Draws and members meet on the player. A player in many lineups is spread by lineup, so a popular
-    player does not decide the run time. A member without a draw adds nothing; the lineup stays.
+    Draws and members meet on the player. The draws of a player are spread by slate, so a popular player
+    does not decide the run time. A member without a draw adds nothing; the lineup stays.
     """
     lineup = list(lineup)
-    sims = draws.select(sim).distinct()
+    sims = draws.agg(F.collect_set(sim)).scalar()
     drawn = draws.select(sim, *MEMBER, "fpts_proj")
-    met = salted_join(members.select(*lineup, *MEMBER), drawn, MEMBER, lineup, "inner")
+    met = salted_join(drawn, members.select(*lineup, *MEMBER), MEMBER, [sim], "inner")
     scores = met.groupBy(sim, *lineup).agg(F.sum("fpts_proj").alias("_score"))
     # Lineups none of whose members were drawn still score 0 in every slate.
-    every = members.select(*lineup).distinct().withColumn("_one", F.lit(1)).join(
-        sims.withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+    every = members.select(*lineup).distinct().withColumn(sim, F.explode(sims))
     score = F.coalesce("_score", F.lit(0.0))
     if digits is not None:
         score = F.round(score, digits)
@@ -118,7 +116,7 @@ def grid_scores(draws: DataFrame, grid: DataFrame) -> DataFrame:
 def grid_scores_by_draw(draws: DataFrame, grid: DataFrame) -> DataFrame:
     """Score of every grid lineup in every draw, for the draws in which all its members appear."""
     size = grid.groupBy("number").agg(F.count(F.lit(1)).alias("_size"))
-    met = salted_join(grid, draws, ["player", "pos"], ["number"], "inner")
+    met = salted_join(draws, grid, ["player", "pos"], ["sim_num"], "inner")
     scores = met.groupBy("sim_num", "number").agg(
         F.sum("sim_proj").alias("lineup_score"), F.count("sim_proj").alias("_have")
     )

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.na import is_in, safe_ratio
 from ..functions.text import extract_first, remove_first, trim_space
-from ..operators.joins import natural_join, salted_join
+from ..operators.joins import natural_join
 from ..operators.ordering import asc_last, desc_last, positions
-from .simulate import SHOWDOWN, SHOWDOWN_FLOOR, draw_scores, link_to_passers, with_row_id
+from ..operators.reshape import with_keys
+from .simulate import SHOWDOWN, SHOWDOWN_FLOOR, covered_by, draw_scores, link_to_passers, with_row_id
 
 # Spreads used where the projections have none, and the captain's multiple.
 SPREAD_UNMATCHED = 5.5
@@ -22,8 +23,7 @@ def convert_feed(feed: DataFrame, boom_bust: DataFrame) -> DataFrame:
     """Salary feed to captain and flex rows with projections.
 
     A captain row takes position and salary from the player's flex row. A player without a projection
-    falls back to the feed's own number, which is not raised for captains. ``row_id`` numbers a team's
-    rows from the best projection down.
+    falls back to the feed's own number, which is not raised for captains.
     """
     read = feed.withColumn("fc_name", F.col("player")).withColumn(
         "name", trim_space(remove_first("player", "- [A-z]+"))
@@ -48,8 +48,12 @@ def convert_feed(feed: DataFrame, boom_bust: DataFrame) -> DataFrame:
     )
     own = read.select(F.col("player").alias("player_id"), "team", "my_proj")
     out = natural_join(priced, own, "left", ["player_id", "team"])
-    out = out.withColumn("fpts_proj", F.coalesce("fpts_proj", "my_proj")).drop("my_proj")
-    return with_row_id(out, "fpts_proj", slate=("team",), key=("player_id", "position"))
+    return out.withColumn("fpts_proj", F.coalesce("fpts_proj", "my_proj")).drop("my_proj")
+
+
+def number_feed(converted: DataFrame) -> DataFrame:
+    """Number a team's rows from the best projection down."""
+    return with_row_id(converted, "fpts_proj", slate=("team",), key=("player_id", "position"))
 
 
 def unmatched(converted: DataFrame) -> DataFrame:
@@ -91,27 +95,22 @@ def simulate_showdown(
         chosen = chosen.where(is_in("team", teams))
     chosen = matchup_of(default_spread(chosen))
     flex = chosen.where(F.col("position") != "CPTN")
-    drawn = draw_scores(flex, slates, seed, randomness, SHOWDOWN_FLOOR, key=("player_id",)).drop("std_dev")
-    columns = ["slate", "matchup", "player_id", "player", "salary", "team", "opp", "position", "pos"]
-    linked = link_to_passers(drawn, SHOWDOWN, key=("player_id",)).select(
-        *columns, F.col("new_proj").alias("fpts_proj")
+    drawn = draw_scores(flex, slates, seed, randomness, SHOWDOWN_FLOOR, key=("player_id",))
+    linked = link_to_passers(drawn, SHOWDOWN, key=("player_id",))
+    mean = linked.groupBy("slate", "matchup", "player_id").agg(F.avg("new_proj").alias("_mean"))
+    # Captain and flex rows never share all join columns, so joining them fully is a padded union: the
+    # flex rows the link covers and every captain row. Both take the player's mean flex score.
+    kept = with_keys(chosen.where((F.col("position") == "CPTN") | covered_by(SHOWDOWN)), "slate", slates)
+    joined = natural_join(
+        kept.select("slate", "matchup", "player_id", "player", "salary", "team", "position", "pos"), mean, "left",
+        ["slate", "matchup", "player_id"],
     )
-    captains = draw_free(chosen.where(F.col("position") == "CPTN"), slates).select(*columns)
-    # Captain and flex rows never share all join columns, so the outer join is a padded union.
-    both = linked.unionByName(captains, allowMissingColumns=True)
-    mean = both.groupBy("slate", "matchup", "player_id").agg(F.avg("fpts_proj").alias("_mean"))
-    joined = salted_join(both, mean, ["slate", "matchup", "player_id"], ["player"])
     score = F.when(F.col("position") == "CPTN", F.col("_mean") * CAPTAIN).otherwise(F.col("_mean"))
-    out = joined.withColumn("fpts_proj", score).drop("_mean", "opp")
+    out = joined.withColumn("fpts_proj", score).drop("_mean")
     out = out.withColumn("new_pos", F.when(F.col("position") == "CPTN", "CPTN").otherwise(F.col("pos")))
     return with_value(out)
 
 
-def draw_free(players: DataFrame, slates: int) -> DataFrame:
-    """Repeat rows for every slate without drawing."""
-    return players.withColumn("slate", F.explode(F.sequence(F.lit(1), F.lit(slates))))
-
-
 def numbered_showdown(draws: DataFrame) -> DataFrame:
     """Row number within a slate's matchup: flex rows from the best down, then captains by name."""
     cut = draws.withColumn("_role", F.when(F.col("position") == "CPTN", 1).otherwise(0))

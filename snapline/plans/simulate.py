@@ -104,6 +104,13 @@ def _team_sums(players: DataFrame, slate, own: str, base: str, passer_positive:
     )
 
 
+def covered_by(rule: LinkRule) -> Column:
+    """Players whose score the rule defines."""
+    linked = [*rule.share_positive, *rule.share_all, *rule.fixed, *rule.against]
+    hired = F.coalesce(F.col("team") != FREE_AGENT, F.lit(False))
+    return is_in("pos", rule.unchanged) | (is_in("pos", linked) & hired)
+
+
 def link_to_passers(
     players: DataFrame, rule: LinkRule, slate=("slate",), own: str = "projection",
     base: str | None = None, key=("name",),
@@ -134,9 +141,7 @@ def link_to_passers(
     for passer, weights in (("qb_proj", rule.fixed), ("_facing", rule.against)):
         for pos, (a, b) in weights.items():
             new = new.when((F.col("pos") == pos) & hired, F.col(passer) * a + floored(pos) * b)
-    linked = [*rule.share_positive, *rule.share_all, *rule.fixed, *rule.against]
-    covered = is_in("pos", rule.unchanged) | (is_in("pos", linked) & F.coalesce(hired, F.lit(False)))
-    return joined.where(covered).withColumn("new_proj", new).drop("qb_proj", "_positive", "_all", "_facing")
+    return joined.where(covered_by(rule)).withColumn("new_proj", new).drop("qb_proj", "_positive", "_all", "_facing")
 
 
 def with_row_id(df: DataFrame, score: str, slate=("slate",), key=("name",)) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..plans import plays as P
+from ..operators.sorting import arrange
 from ..sources import standins as V
 from .common import r6, tidy
 
@@ -200,7 +201,7 @@ QUERIES = {
         _correlation_sql(),
     ),
     "q05_season_efficiency": (
-        lambda s, d: tidy(P.season_efficiency(V.order_plays(s, d), V.rosters(s, d))),
+        lambda s, d: arrange(tidy(P.season_efficiency(V.order_plays(s, d), V.rosters(s, d))), "-aya", "season"),
         f"""WITH {ORDER_PLAYS}, {ROSTERS}, {QUALIFIED}
         SELECT season, {r6("adj_passers")}, dropbacks, {r6("aya", "ep", "epa")} FROM season_eff""",
     ),
@@ -221,7 +222,7 @@ QUERIES = {
           round(epa_, 6) + 0.0 AS epa FROM career""",
     ),
     "q07_drive_rollup": (
-        lambda s, d: tidy(P.red_zone(V.order_plays(s, d), None)),
+        lambda s, d: arrange(tidy(P.red_zone(V.order_plays(s, d), None)), "-ep", "posteam", "season"),
         f"""WITH {ORDER_PLAYS},
         drives AS (SELECT posteam, season, game_id, drive, count(*) AS plays, max(ep) AS ep, sum(epa) AS epa
           FROM order_plays WHERE yardline_100 <= 20 AND play_type IN ('pass', 'run', 'field_goal') GROUP BY ALL),
@@ -239,7 +240,7 @@ QUERIES = {
         FROM drives GROUP BY ALL""",
     ),
     "q08_last_row_share": (
-        lambda s, d: P.score_differentials(V.order_plays(s, d)),
+        lambda s, d: arrange(P.score_differentials(V.order_plays(s, d)), "-n", "score_differential"),
         f"""WITH {ORDER_PLAYS}, last AS (
           SELECT game_id, play_id, score_differential FROM order_plays
           WHERE score_differential IS NOT NULL AND season_type = 'REG'

@@ -188,7 +188,7 @@ GRID = """lines AS (
     CASE WHEN l_orderkey % 50 <> 0 THEN coalesce(min(CASE WHEN l_linestatus = 'O' THEN l_partkey END), min(l_partkey)) END AS dst
   FROM lineitem GROUP BY l_orderkey),
 slots AS (
-  UNPIVOT INCLUDE NULLS lines ON qb, rb_1, rb_2, wr_1, wr_2, wr_3, te, flex, dst INTO NAME slot VALUE k),
+  SELECT * FROM lines UNPIVOT INCLUDE NULLS (k FOR slot IN (qb, rb_1, rb_2, wr_1, wr_2, wr_3, te, flex, dst))),
 grid AS (
   SELECT number, CASE WHEN k = 49 THEN '49ers'
     WHEN k IS NOT NULL THEN 'Player ' || translate(CAST(k AS VARCHAR), '0123456789', 'abcdefghij') END AS player,
@@ -335,7 +335,7 @@ QUERIES = {
           {r6("fpts_proj")} FROM sd WHERE position = 'FLEX'""",
     ),
     "q22_feed_conversion": (
-        lambda s, d: tidy(_converted(s, d)),
+        lambda s, d: tidy(D.number_feed(_converted(s, d))),
         f"""WITH {PLAYERS}, {FEED} SELECT player_id, player, salary, team, opp, position, pos, {r6("fpts_proj", "std_dev")},
           row_number() OVER (PARTITION BY team ORDER BY fpts_proj DESC NULLS LAST, player_id, position) AS row_id FROM converted""",
     ),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..plans import player_stats as P
+from ..operators.sorting import arrange
 from ..sources import standins as V
 from .common import r6, tidy
 from .games import density_sql
@@ -123,7 +124,7 @@ QUERIES = {
           round(s_tds / nullif(s_targets + s_rushes + s_passes, 0), 6) + 0.0 AS tds_opp FROM rates_sums""",
     ),
     "q10_playoff_rates": (
-        lambda s, d: tidy(_playoffs(s, d)),
+        lambda s, d: arrange(tidy(_playoffs(s, d)), "-epa_play", "player_id"),
         f"WITH {POST} SELECT {_RATE_COLS}, {r6('epa_play')} FROM playoffs",
     ),
     "q10_playoff_teams": (
@@ -132,7 +133,7 @@ QUERIES = {
           round(avg(epa_play), 6) + 0.0 AS epa_play FROM playoffs GROUP BY recent_team""",
     ),
     "q11_two_season_pace": (
-        lambda s, d: tidy(_pace(s, d)),
+        lambda s, d: arrange(tidy(_pace(s, d)), "-epa_17", "player_id"),
         f"WITH {RATES}, {PACE} SELECT {_PACE_COLS} FROM pace",
     ),
     "q09_topk_pace": (
