@@ -69,7 +69,7 @@ def remove_first(x: Column | str, pattern: str) -> Column:
 
 def trim_space(x: Column | str) -> Column:
     """Strip blanks, tabs and line ends on both sides."""
-    return F.regexp_replace(as_col(x), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.trim(as_col(x), F.lit(" \t\r\n"))
 
 
 # How a roster label is read. The class runs from A to z and so also covers [ \ ] ^ _ `.

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import natural_join, salted_join
 
 
@@ -75,7 +76,8 @@ def density_curve(
     group first, so the kernel sum runs over at most bins x points rows per group, whatever the data size.
     """
     keys = list(keys)
-    df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    # Keys and values only, read three times below.
+    df = cut_lineage(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
     iqr = grouped_quantiles(df, keys, "_v", {"_q1": 0.25, "_q3": 0.75}, cell).drop("n")
     stats = natural_join(
         df.groupBy(*keys).agg(

@@ -156,7 +156,7 @@ def _ranked(whole: DataFrame, slate, best: int) -> DataFrame:
 def _with_members(lineups: DataFrame, pool: DataFrame, slate) -> DataFrame:
     """One row per member, with the pool's columns."""
     members = lineups.select(*slate, "lineup", "lineup_points", "lineup_salary", F.explode("members").alias("player"))
-    return members.join(pool, [*slate, "player"])
+    return cut_lineage(members.join(pool, [*slate, "player"]))
 
 
 def salary_profile(lineups: DataFrame, slate=("slate",), tops=(2, 3, 4, 5), mid=(4, 6)) -> DataFrame:
@@ -253,4 +253,4 @@ def best_showdown_lineups(
         *slate, "lineup", "lineup_points", "lineup_salary",
         F.substring("_member", 1, 4).alias("position"), F.expr("substring(_member, 6)").alias("player_id"),
     )
-    return members.join(kept.drop("gain", "dominators"), [*slate, "player_id", "position"])
+    return cut_lineage(members.join(kept.drop("gain", "dominators"), [*slate, "player_id", "position"]))

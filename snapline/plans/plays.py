@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.na import if_else, is_in, n_distinct_na, na_corr, present, rounded, safe_ratio
@@ -13,6 +13,7 @@ from ..operators.joins import natural_join, salted_join
 from ..operators.ordering import ID_BLOCK, desc_last, positions, rolling_mean, running_total
 from ..operators.quantiles import density_curve, grouped_quantiles
 from ..operators.topn import last_rows, top_n
+from ..session import cut_lineage
 
 GAME = ["game_id", "posteam", "season"]
 PASSER = ["primary_passer_name", "primary_passer_id"]
@@ -153,9 +154,8 @@ def _qualified(plays: DataFrame, rosters: DataFrame, least: int) -> DataFrame:
     for c in joined.columns:
         if c.startswith(("_n", "_s_", "_c_")):
             joined = joined.withColumn(c, F.col(c) * F.col("_copies"))
-    totals = joined.groupBy("passer_id", "season").agg(F.sum("_n").alias("passer_season_dropbacks"))
-    totals = totals.where(F.col("passer_season_dropbacks") >= least)
-    return natural_join(joined, totals, "inner", ["passer_id", "season"])
+    total = F.sum("_n").over(Window.partitionBy("passer_id", "season"))
+    return joined.withColumn("passer_season_dropbacks", total).where(F.col("passer_season_dropbacks") >= least)
 
 
 def _mean(c: str):
@@ -166,7 +166,10 @@ def season_efficiency(
     plays: DataFrame, rosters: DataFrame, least: int = 25, weeks: int = 18, digits: int = 3
 ) -> DataFrame:
     """Passing efficiency per season over passers with at least ``least`` dropbacks."""
-    kept = _qualified(plays, rosters, least)
+    return _by_season(_qualified(plays, rosters, least), weeks, digits)
+
+
+def _by_season(kept: DataFrame, weeks: int = 18, digits: int = 3) -> DataFrame:
     out = kept.groupBy("season").agg(
         n_distinct_na("passer_id").alias("_passers"), n_distinct_na("week").alias("_weeks"),
         F.sum("_n").alias("dropbacks"), _mean("yards_gained").alias("aya"), _mean("ep").alias("ep"),
@@ -184,10 +187,10 @@ def career_efficiency(
 
     The written form of that share answers a vector; this is the evident intent.
     """
-    kept = _qualified(plays, rosters, least).where(F.col("full_name").isNotNull())
-    season_epa = season_efficiency(plays, rosters, least, digits=digits).select(
-        "season", F.col("epa").alias("season_epa")
-    )
+    # Weekly sums, small beside the plays and read four times below.
+    qualified = cut_lineage(_qualified(plays, rosters, least))
+    kept = qualified.where(F.col("full_name").isNotNull())
+    season_epa = _by_season(qualified, digits=digits).select("season", F.col("epa").alias("season_epa"))
     with_bar = natural_join(kept, season_epa, "left", ["season"])
     career = with_bar.groupBy("passer_id", "full_name").agg(
         F.sum("_n").alias("dropbacks"), F.max("season_epa").alias("best_season_epa"),

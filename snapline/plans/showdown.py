@@ -10,6 +10,7 @@ from ..functions.text import extract_first, remove_first, trim_space
 from ..operators.joins import natural_join
 from ..operators.ordering import asc_last, desc_last, positions
 from ..operators.reshape import with_keys
+from ..session import cut_lineage
 from .simulate import SHOWDOWN, SHOWDOWN_FLOOR, covered_by, draw_scores, link_to_passers, with_row_id
 
 # Spreads used where the projections have none, and the captain's multiple.
@@ -93,7 +94,8 @@ def simulate_showdown(
     chosen = converted.withColumnRenamed("fpts_proj", "projection")
     if teams is not None:
         chosen = chosen.where(is_in("team", teams))
-    chosen = matchup_of(default_spread(chosen))
+    # One row per player and role, read three times below; the simulated slates multiply it later.
+    chosen = cut_lineage(matchup_of(default_spread(chosen)))
     flex = chosen.where(F.col("position") != "CPTN")
     drawn = draw_scores(flex, slates, seed, randomness, SHOWDOWN_FLOOR, key=("player_id",))
     linked = link_to_passers(drawn, SHOWDOWN, key=("player_id",))
