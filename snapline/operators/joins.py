@@ -64,3 +64,16 @@ def salted_join(
     return natural_join(
         big.withColumn("_share", share), small.withColumn("_share", shares), how, [*keys, "_share"]
     ).drop("_share")
+
+
+def left_join_detail(left: DataFrame, detail: DataFrame, keys, salts: int = 16) -> DataFrame:
+    """Null-safe left join to a detail table with many rows per key, every match kept.
+
+    A left join cannot split a heavy key of its right side, so the matches come from a salted inner join
+    with the detail as the big side, and the rows without any match are added.
+    """
+    others = [c for c in detail.columns if c not in keys]
+    matched = salted_join(detail, left, keys, others, "inner", salts).select(*left.columns, *others)
+    known = detail.select(*keys).distinct()
+    alone = left.alias("l").join(known.alias("r"), _null_safe("l", "r", keys), "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)

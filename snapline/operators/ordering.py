@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import natural_join
+from .joins import natural_join, salted_join
 
 ID_BLOCK = 1 << 20
 ROLL_BLOCK = 1 << 16
@@ -94,4 +94,25 @@ def name_codes(df: DataFrame, column: str, name: str, prefix: int = 8) -> DataFr
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
     distinct = distinct.withColumn("_prefix", F.substring(column, 1, prefix))
     codes = positions(distinct, [], asc_last(column), ["_prefix"], asc_last("_prefix"), name)
-    return natural_join(df, codes.select(column, name), "left", [column])
+    return salted_join(df, codes.select(column, name), [column], df.columns)
+
+
+def best_first(
+    df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], name: str, lead: Sequence[str] = (),
+    steps: int = 8, prefix: int = 8,
+) -> DataFrame:
+    """Number the rows of a group by ``lead`` ascending, then score descending (null last), then ``ties``.
+
+    Chunks are steps of 1/``steps`` of the score. Rows without a score, and rows exactly at the lower edge
+    of their step (such as scores raised to a floor), may be very many; they only differ by the ties, so a
+    prefix of the first tie column splits them further.
+    """
+    scaled = F.col(score) * steps
+    edge = F.coalesce(scaled == F.floor(scaled), F.lit(True))
+    cut = df.withColumns(
+        {"_step": F.floor(scaled), "_edge": edge.cast("int"), "_head": F.when(edge, F.substring(F.col(ties[0]), 1, prefix))}
+    )
+    return positions(
+        cut, list(keys), [*asc_last(*lead), *desc_last(score), *asc_last(*ties)], [*lead, "_step", "_edge", "_head"],
+        [*asc_last(*lead), *desc_last("_step"), *asc_last("_edge", "_head")], name,
+    ).drop("_step", "_edge", "_head")

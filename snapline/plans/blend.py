@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.na import fill_numeric, half_even, is_in, round_numeric, safe_ratio
 from ..functions.text import columns_containing, standard_names
-from ..operators.joins import natural_join
+from ..operators.joins import left_join_detail, natural_join
 from ..operators.ordering import desc_last, name_codes
 from ..operators.topn import first_rows
 
@@ -80,10 +80,9 @@ def blend_projection(slate: DataFrame, points: DataFrame, rosters: DataFrame, pr
     A weekly points table matches a player once per week, and those repeats are kept.
     """
     keys = ["name", "team", "position"]
-    joined = natural_join(slate, points, "left", keys)
-    joined = natural_join(joined, rosters, "left", keys)
-    joined = joined.withColumn("player_id", F.coalesce(F.col("`player_id.x`"), F.col("`player_id.y`")))
-    joined = joined.drop("player_id.x", "player_id.y")
+    joined = left_join_detail(slate, points.withColumnRenamed("player_id", "_points_id"), keys)
+    joined = left_join_detail(joined, rosters.withColumnRenamed("player_id", "_roster_id"), keys)
+    joined = joined.withColumn("player_id", F.coalesce("_points_id", "_roster_id"))
     coded = name_codes(joined, "name", "_code", prefix)
     unit_id = F.concat(F.lit("00-"), F.col("_code").cast("string"))
     own, other = BLEND

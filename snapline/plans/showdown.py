@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.na import is_in, safe_ratio
 from ..functions.text import extract_first, remove_first, trim_space
 from ..operators.joins import natural_join
-from ..operators.ordering import asc_last, desc_last, positions
+from ..operators.ordering import best_first
 from ..operators.reshape import with_keys
 from ..session import cut_lineage
-from .simulate import SHOWDOWN, SHOWDOWN_FLOOR, covered_by, draw_scores, link_to_passers, with_row_id
+from .simulate import SHOWDOWN, SHOWDOWN_FLOOR, covered_by, draw_scores, link_to_passers
 
 # Spreads used where the projections have none, and the captain's multiple.
 SPREAD_UNMATCHED = 5.5
@@ -54,7 +54,7 @@ def convert_feed(feed: DataFrame, boom_bust: DataFrame) -> DataFrame:
 
 def number_feed(converted: DataFrame) -> DataFrame:
     """Number a team's rows from the best projection down."""
-    return with_row_id(converted, "fpts_proj", slate=("team",), key=("player_id", "position"))
+    return best_first(converted, ["team"], "fpts_proj", ["player_id", "position"], "row_id")
 
 
 def unmatched(converted: DataFrame) -> DataFrame:
@@ -116,10 +116,7 @@ def simulate_showdown(
 def numbered_showdown(draws: DataFrame) -> DataFrame:
     """Row number within a slate's matchup: flex rows from the best down, then captains by name."""
     cut = draws.withColumn("_role", F.when(F.col("position") == "CPTN", 1).otherwise(0))
-    cut = cut.withColumn("_order", F.when(F.col("_role") == 0, F.col("fpts_proj")))
-    cut = cut.withColumn("_step", F.floor(F.col("_order") * 8))
-    return positions(
-        cut, ["slate", "matchup"],
-        [F.col("_role").asc(), *desc_last("_order"), *asc_last("player_id", "player")],
-        ["_role", "_step"], [F.col("_role").asc(), *desc_last("_step")], "row_id",
-    ).drop("_role", "_order", "_step")
+    cut = cut.withColumn("_score", F.when(F.col("_role") == 0, F.col("fpts_proj")))
+    return best_first(
+        cut, ["slate", "matchup"], "_score", ["player_id", "player"], "row_id", lead=["_role"]
+    ).drop("_role", "_score")

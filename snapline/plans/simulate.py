@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.na import floor_at, is_in, safe_ratio
 from ..functions.rand import normal
 from ..operators.joins import natural_join, salted_join
-from ..operators.ordering import asc_last, desc_last, positions
+from ..operators.ordering import best_first
 from ..operators.reshape import with_keys
 from ..session import evenly
 
@@ -144,14 +144,6 @@ def link_to_passers(
     return joined.where(covered_by(rule)).withColumn("new_proj", new).drop("qb_proj", "_positive", "_all", "_facing")
 
 
-def with_row_id(df: DataFrame, score: str, slate=("slate",), key=("name",)) -> DataFrame:
-    """Number the players of a slate from the best score down."""
-    cut = df.withColumn("_step", F.floor(F.col(score) * 8))
-    return positions(
-        cut, list(slate), [*desc_last(score), *asc_last(*key)], ["_step"], desc_last("_step"), "row_id"
-    ).drop("_step")
-
-
 def simulate_main(slate_players: DataFrame, slates: int, seed: int, randomness: float = 0.0) -> DataFrame:
     """Main-slate draws of every player, linked to passers, in every simulated slate."""
     players = slate_players.select(
@@ -167,7 +159,7 @@ def simulate_main(slate_players: DataFrame, slates: int, seed: int, randomness:
 
 def ranked_main(draws: DataFrame) -> DataFrame:
     """Draws with the row number and text id of each player within its slate."""
-    out = with_row_id(draws, "fpts_proj", key=("player",))
+    out = best_first(draws, ["slate"], "fpts_proj", ["player"], "row_id")
     return out.withColumn("player_id", F.col("row_id").cast("string"))
 
 

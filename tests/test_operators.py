@@ -117,6 +117,24 @@ def test_salted_join_keeps_every_row(plays, spark):
         joins.salted_join(df, small, ["k"], ["id"], "full")
 
 
+def test_left_join_to_a_heavy_detail(plays, spark, rows):
+    df, data = plays
+    left = spark.createDataFrame([("hot", 1), ("a", 2), (None, 3), ("nobody", 4), ("nobody", 4)], "k string, w int")
+    got = rows(joins.left_join_detail(left, df, ["k"]), "k", "w", "id")
+    want = rows(joins.natural_join(left, df, "left", ["k"]), "k", "w", "id")
+    assert got == want and len(got) > 800
+
+
+def test_best_first_with_many_equal_scores(spark):
+    random.seed(4)
+    data = [(g, random.choice([-2.0, -2.0, None, 1.25, round(random.uniform(-2, 9), 2)]), f"n{i:04d}") for g in "gh" for i in range(200)]
+    df = spark.createDataFrame(data, "g string, x double, n string")
+    got = {(r.g, r.n): r.pos for r in ordering.best_first(df, ["g"], "x", ["n"], "pos", prefix=3).collect()}
+    for g in "gh":
+        line = sorted((r for r in data if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        assert [got[g, r[2]] for r in line] == list(range(1, 201))
+
+
 def test_top_n_keeps_ties_and_drops_null(spark, rows):
     df = spark.createDataFrame(
         [("a", 3), ("a", 3), ("a", 1), ("a", None), ("b", 2), ("b", 1)], "g string, w int"
