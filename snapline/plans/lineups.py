@@ -47,28 +47,45 @@ def _order(cost: str = "salary", gain: str = "gain", tie: str = "player") -> Col
     return F.struct((-F.col(gain)).alias("loss"), F.col(cost).alias("cost"), F.col(tie).alias("tie"))
 
 
+def _beats(a: Column, b: Column) -> Column:
+    """Whether order a dominates order b; false where either is missing."""
+    return F.coalesce((a < b) & (a["cost"] <= b["cost"]), F.lit(False))
+
+
+def _pick(left_out: Column, lead: bool) -> Column:
+    fields = [F.col("_order").alias("order"), left_out.alias("left_out")]
+    return F.struct(*fields, F.col("lead")) if lead else F.struct(*fields)
+
+
 def _start_groups(pool: DataFrame, keys, slack: int) -> DataFrame:
-    return pool.where(F.col("dominators") < slack).select(
+    """Groups of one player: ``picks`` holds each player's order and how many of its dominators are left out."""
+    lead = "lead" in pool.columns
+    first = pool.where(F.col("dominators") < slack).withColumn("_order", _order())
+    return first.select(
         *keys, F.lit(1).alias("n"), F.col("salary").alias("cost"), F.col("gain").alias("total"),
-        F.array("salary").alias("costs"), _order().alias("last"), F.array("player").alias("members"),
+        F.array(_pick(F.col("dominators"), lead)).alias("picks"), F.array("player").alias("members"),
     )
 
 
 def _grow_groups(groups: DataFrame, pool: DataFrame, keys, slack: int, limit: int) -> DataFrame:
     """Add one later player to each group, if fewer than ``slack`` of its dominators were left out."""
+    lead = "lead" in pool.columns
     nxt = pool.select(
-        *[F.col(k).alias(f"_{k}") for k in keys], "player", "salary", "gain", "dominators", _order().alias("_order")
+        *[F.col(k).alias(f"_{k}") for k in keys], "player", "salary", "gain", "dominators", _order().alias("_order"),
+        *(["lead"] if lead else []),
     )
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
-    used = F.size(F.filter("costs", lambda c: c <= F.col("salary")))
+    used = F.size(F.filter("picks", lambda p: p["order"]["cost"] <= F.col("salary")))
+    last = F.element_at("picks", -1)["order"]
     fits = (
-        (F.col("_order") > F.col("last")) & (F.col("dominators") < used + slack)
+        (F.col("_order") > last) & (F.col("dominators") < used + slack)
         & (F.col("cost") + F.col("salary") <= limit)
     )
     return groups.join(nxt, same & fits).select(
         *keys, (F.col("n") + 1).alias("n"), (F.col("cost") + F.col("salary")).alias("cost"),
-        (F.col("total") + F.col("gain")).alias("total"), F.array_append("costs", F.col("salary")).alias("costs"),
-        F.col("_order").alias("last"), F.array_append("members", F.col("player")).alias("members"),
+        (F.col("total") + F.col("gain")).alias("total"),
+        F.array_append("picks", _pick(F.col("dominators") - used, lead)).alias("picks"),
+        F.array_append("members", F.col("player")).alias("members"),
     )
 
 
@@ -87,7 +104,7 @@ def candidate_pool(pool: DataFrame, slate, fixed, eligible, extra: int, best: in
     allowed = F.lit(False)
     for pos, d in depth.items():
         allowed = allowed | ((F.col("position") == pos) & (F.col("dominators") < d))
-    return cut_lineage(evenly(kept.where(allowed), *slate, "position"))
+    return evenly(cut_lineage(kept.where(allowed)), *slate, "position")
 
 
 def best_lineups(
@@ -197,21 +214,31 @@ def best_showdown_lineups(
         "gain", F.round("fpts_proj", 6)
     )
     kept = prune_dominated(priced, [*keys, "position"], "salary", "gain", "player", flex + best)
-    kept = cut_lineage(evenly(kept, *keys))
+    # Each row also learns its player's order in both roles. A row cut from one role is dominated by too
+    # many to dominate any row that is left there, so its order may be missing.
+    both = Window.partitionBy(*keys, "player_id")
+    role = _order(tie="player_id")
+    kept = kept.withColumn("lead", F.max(F.when(F.col("position") == "CPTN", role)).over(both)).withColumn(
+        "own", F.max(F.when(F.col("position") == "FLEX", role)).over(both)
+    )
+    kept = evenly(cut_lineage(kept), *keys)
     # Inside a side a player is known by player_id, the same in both roles.
-    known = kept.select(*keys, "position", F.col("player_id").alias("player"), "salary", "gain", "dominators")
-    flexes = known.where(F.col("position") == "FLEX").drop("position")
+    known = kept.select(
+        *keys, "position", F.col("player_id").alias("player"), "salary", "gain", "dominators", "lead", "own"
+    )
+    flexes = known.where(F.col("position") == "FLEX").drop("position", "own")
     captains = known.where(F.col("position") == "CPTN").select(
         *[F.col(k).alias(f"_{k}") for k in keys], F.col("player").alias("captain"), F.col("salary").alias("_salary"),
-        F.col("gain").alias("_gain"), F.col("dominators").alias("_dominators"),
+        F.col("gain").alias("_gain"), F.col("dominators").alias("_dominators"), F.col("lead").alias("_lead"), "own",
     )
     # One dominator may be missing from the flex group because it is the captain: slack best + 1.
     groups = [_start_groups(flexes, keys, best + 1)]
     for _ in range(2, flex + 1):
         groups.append(_grow_groups(groups[-1], flexes, keys, best + 1, cap))
-    sized = reduce(DataFrame.unionByName, groups).select(*keys, "n", "cost", "total", "members")
+    sized = reduce(DataFrame.unionByName, groups).select(*keys, "n", "cost", "total", "picks", "members")
 
-    alone = sized.where(F.col("n") <= team_limit)
+    closed = F.forall("picks", lambda p: p["left_out"] < best)
+    alone = sized.where((F.col("n") <= team_limit) & closed).drop("picks")
     alone = _needed(alone, [*keys, "n"], best)
 
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
@@ -219,10 +246,15 @@ def best_showdown_lineups(
         *[F.col(f"_{k}").alias(k) for k in keys], F.lit(0).alias("n"), F.col("_salary").alias("cost"),
         F.col("_gain").alias("total"), "captain", F.array().cast("array<string>").alias("members"),
     )
+    # With the captain counted as used, fewer than ``best`` dominators of any member may be left out.
+    flex_closed = F.forall(
+        "picks", lambda p: p["left_out"] - _beats(F.col("own"), p["order"]).cast("int") < best
+    )
+    ahead = F.size(F.filter("picks", lambda p: _beats(p["lead"], F.col("_lead"))))
     led = sized.where(F.col("n") < min(flex, team_limit)).join(
         captains,
-        same & ~F.array_contains("members", F.col("captain")) & (F.col("_dominators") < F.col("n") + best)
-        & (F.col("cost") + F.col("_salary") <= cap),
+        same & ~F.array_contains("members", F.col("captain")) & (F.col("cost") + F.col("_salary") <= cap)
+        & (F.col("_dominators") < ahead + best) & flex_closed,
     ).select(
         *keys, "n", (F.col("cost") + F.col("_salary")).alias("cost"), (F.col("total") + F.col("_gain")).alias("total"),
         "captain", "members",
@@ -253,4 +285,4 @@ def best_showdown_lineups(
         *slate, "lineup", "lineup_points", "lineup_salary",
         F.substring("_member", 1, 4).alias("position"), F.expr("substring(_member, 6)").alias("player_id"),
     )
-    return cut_lineage(members.join(kept.drop("gain", "dominators"), [*slate, "player_id", "position"]))
+    return cut_lineage(members.join(kept.drop("gain", "dominators", "lead", "own"), [*slate, "player_id", "position"]))
