@@ -18,7 +18,8 @@ def grouped_quantiles(
 
     Equal to an exact percentile, but no task ever holds the values of a whole group. Values are
     counted per cell of width ``cell``; the running cell counts tell which cells hold the wanted order
-    statistics, and only the values of those cells are ranked.
+    statistics, and only the values of those cells are ranked. Choose ``cell`` so that a group has some
+    hundreds of cells: both the cells of a group and the distinct values of a cell are sorted in one task.
     """
     keys = list(keys)
     counts = (

@@ -214,3 +214,13 @@ def test_detail_with_group_means(spark, rows):
         ("detail", "a", "x", 1.0), ("detail", "a", "y", None), ("detail", "b", "z", 4.0),
         ("mean", "a", None, 1.0), ("mean", "b", None, 4.0),
     ]
+
+
+def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
+    from snapline.session import cut_lineage, parallelism
+
+    before = spark.range(5).selectExpr("id * 2 as x")
+    after = cut_lineage(before)
+    assert sorted(r.x for r in after.collect()) == [0, 2, 4, 6, 8]
+    assert "Range" not in after._jdf.queryExecution().optimizedPlan().toString()
+    assert parallelism(spark) >= 4
