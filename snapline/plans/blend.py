@@ -9,6 +9,7 @@ from ..functions.na import fill_numeric, half_even, is_in, round_numeric, safe_r
 from ..functions.text import columns_containing, standard_names
 from ..operators.joins import left_join_detail, natural_join
 from ..operators.ordering import desc_last, name_codes
+from ..operators.sorting import arrange
 from ..operators.topn import first_rows
 
 # The blend weights of the own projection and the expected points.
@@ -126,7 +127,7 @@ def blend_stats(receiving: DataFrame, rushing: DataFrame, passing: DataFrame, li
 
 
 def stat_chart(stats: DataFrame, metric: str, teams=None, shown=None) -> DataFrame:
-    """Rows of a bar chart: the teams' players with a positive shown value.
+    """Rows of a bar chart from the smallest bar up: the teams' players with a positive ``shown`` value.
 
     ``metric`` may be ``bad_yards``, three yards per rush.
     """
@@ -135,7 +136,7 @@ def stat_chart(stats: DataFrame, metric: str, teams=None, shown=None) -> DataFra
         stats = stats.where(is_in("team", teams))
     if shown is not None:
         stats = stats.where(F.col(shown) > 0)
-    return stats.select("name", "team", F.col(metric).alias(metric))
+    return arrange(stats.select("name", "team", metric), metric, "name")
 
 
 def usage_per_salary(stats: DataFrame, salaries: DataFrame, teams=None) -> DataFrame:

@@ -13,6 +13,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Also split a skewed join whose output partitioning a later step would reuse.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Checkpoint files go once no table refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
