@@ -30,6 +30,8 @@ MAIN_SLOTS = {"QB": 1, "RB": 2, "WR": 3, "TE": 1, "RB/WR/TE": 1, "DST": 1}
 SHOWDOWN_SLOTS = {"CPTN": 1, "FLEX": 5}
 SHOWDOWN_TEAM_LIMIT = 5
 
+SHARES = 16
+
 
 def read_slots(slots: dict[str, int]) -> tuple[dict[str, int], tuple[str, ...], int]:
     """Split slot rules into fixed counts per position and the one shared slot kind."""
@@ -58,18 +60,29 @@ def _pick(left_out: Column, lead: bool) -> Column:
 
 
 def _start_groups(pool: DataFrame, keys, slack: int) -> DataFrame:
-    """Groups of one player: ``picks`` holds each player's order and how many of its dominators are left out."""
+    """Groups of one player: ``picks`` holds each player's order and how many of its dominators are left out.
+
+    Groups stay in the share of their first player, so one position with most of the groups is grown in
+    several tasks.
+    """
     lead = "lead" in pool.columns
     first = pool.where(F.col("dominators") < slack).withColumn("_order", _order())
+    share = F.pmod(F.xxhash64("player"), F.lit(SHARES)).cast("int").alias("share")
     return first.select(
-        *keys, F.lit(1).alias("n"), F.col("salary").alias("cost"), F.col("gain").alias("total"),
+        *keys, share, F.lit(1).alias("n"), F.col("salary").alias("cost"), F.col("gain").alias("total"),
         F.array(_pick(F.col("dominators"), lead)).alias("picks"), F.array("player").alias("members"),
     )
 
 
+def _shared(pool: DataFrame) -> DataFrame:
+    """The pool once per share."""
+    return pool.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+
+
 def _grow_groups(groups: DataFrame, pool: DataFrame, keys, slack: int, limit: int) -> DataFrame:
     """Add one later player to each group, if fewer than ``slack`` of its dominators were left out."""
     lead = "lead" in pool.columns
+    keys = [*keys, "share"]
     nxt = pool.select(
         *[F.col(k).alias(f"_{k}") for k in keys], "player", "salary", "gain", "dominators", _order().alias("_order"),
         *(["lead"] if lead else []),
@@ -104,7 +117,7 @@ def candidate_pool(pool: DataFrame, slate, fixed, eligible, extra: int, best: in
     allowed = F.lit(False)
     for pos, d in depth.items():
         allowed = allowed | ((F.col("position") == pos) & (F.col("dominators") < d))
-    return evenly(cut_lineage(kept.where(allowed)), *slate, "position")
+    return cut_lineage(kept.where(allowed))
 
 
 def best_lineups(
@@ -121,11 +134,12 @@ def best_lineups(
     keys = [*slate, "position"]
 
     most = {pos: n + (extra if pos in eligible else 0) for pos, n in fixed.items()}
-    groups = [_start_groups(candidates, keys, best)]
+    groups = [evenly(_start_groups(candidates, keys, best), *keys, "share")]
+    pool_shares = evenly(_shared(candidates), *keys, "share")
     for size in range(2, max(most.values()) + 1):
         deeper = [pos for pos, n in most.items() if n >= size]
         groups.append(
-            _grow_groups(groups[-1].where(F.col("position").isin(deeper)), candidates, keys, best, cap)
+            _grow_groups(groups[-1].where(F.col("position").isin(deeper)), pool_shares, keys, best, cap)
         )
     usable = F.lit(False)
     for pos, n in fixed.items():
@@ -221,7 +235,7 @@ def best_showdown_lineups(
     kept = kept.withColumn("lead", F.max(F.when(F.col("position") == "CPTN", role)).over(both)).withColumn(
         "own", F.max(F.when(F.col("position") == "FLEX", role)).over(both)
     )
-    kept = evenly(cut_lineage(kept), *keys)
+    kept = cut_lineage(kept)
     # Inside a side a player is known by player_id, the same in both roles.
     known = kept.select(
         *keys, "position", F.col("player_id").alias("player"), "salary", "gain", "dominators", "lead", "own"
@@ -232,9 +246,10 @@ def best_showdown_lineups(
         F.col("gain").alias("_gain"), F.col("dominators").alias("_dominators"), F.col("lead").alias("_lead"), "own",
     )
     # One dominator may be missing from the flex group because it is the captain: slack best + 1.
-    groups = [_start_groups(flexes, keys, best + 1)]
+    groups = [evenly(_start_groups(flexes, keys, best + 1), *keys, "share")]
+    pool_shares = evenly(_shared(flexes), *keys, "share")
     for _ in range(2, flex + 1):
-        groups.append(_grow_groups(groups[-1], flexes, keys, best + 1, cap))
+        groups.append(_grow_groups(groups[-1], pool_shares, keys, best + 1, cap))
     sized = reduce(DataFrame.unionByName, groups).select(*keys, "n", "cost", "total", "picks", "members")
 
     closed = F.forall("picks", lambda p: p["left_out"] < best)
