@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, secret_scan, token_count
+from . import bpe, packing, pii, quality, secret_scan, simhash, token_count
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op5_secrets": op5_secrets,
     "op7_quality": op7_quality,
+    "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
