@@ -13,7 +13,7 @@ import math
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, ship_code, written
@@ -181,13 +181,35 @@ def judge(
     columns = list(dict.fromkeys([*keep, "doc_id", stratum]))
     metrics = written(document_metrics(docs, columns), "quality-metrics")
     chosen = cutoffs(metrics, labels, stratum, false_reject, error)
-    joined = metrics.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(
-        chosen, "_stratum", "left"
+    judged = _verdict(metrics, chosen, F.col(stratum), min_words, max_repeat_percent)
+    return judged.select(*keep, *METRICS, "base_failed", "kept", *(f"cut_{r}" for r in RULES))
+
+
+def _verdict(metrics: DataFrame, chosen: DataFrame, stratum: Column, min_words: int, max_repeat_percent: int) -> DataFrame:
+    """Adds the cutoffs, base_failed and kept. The table of cutoffs is read from a file, so Spark knows its size."""
+    joined = metrics.withColumn("_stratum", F.coalesce(stratum.cast("string"), F.lit(""))).join(
+        written(chosen, "quality-cutoffs"), "_stratum", "left"
     )
     failed = F.expr(f"n_words < {min_words} or 100 * n_repeat_words > {max_repeat_percent} * n_words")
     passes = F.lit(True)
     for rule, score in RULES.items():
         passes = passes & F.coalesce(F.expr(f"({score}) <= cut_{rule}"), F.lit(True))
-    return joined.select(
-        *keep, *METRICS, failed.alias("base_failed"), (~failed & passes).alias("kept"), *(f"cut_{r}" for r in RULES)
-    )
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & passes)
+
+
+def filtered(
+    docs: DataFrame,
+    labels: DataFrame,
+    stratum: str = "lang",
+    false_reject: float = 0.012,
+    error: float = 0.05,
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns. Texts are measured twice but not shuffled."""
+    names = docs.columns
+    metrics = written(document_metrics(docs, list(dict.fromkeys(["doc_id", stratum]))), "quality-metrics")
+    chosen = cutoffs(metrics, labels, stratum, false_reject, error)
+    whole = document_metrics(docs.select(F.struct(*names).alias("_doc"), "text"), ["_doc"])
+    judged = _verdict(whole, chosen, F.col("_doc")[stratum], min_words, max_repeat_percent)
+    return judged.where("kept").select(*(F.col("_doc")[c].alias(c) for c in names))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, secret_scan, simhash, substrings, token_count
+from . import bpe, language_id, packing, pii, quality, secret_scan, simhash, substrings, token_count, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,17 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_read(spark, sf_dir, "documents"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(language_id.held_out(documents).where("not held_out").drop("held_out"))
+    marked = language_id.held_out(documents.select("doc_id", "text"))
+    return language_id.predict(marked, model, ("doc_id", "held_out"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_read(spark, sf_dir, "documents"))
 
@@ -57,6 +68,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
+    "op3_topk": op3_topk,
+    "op4_languages": op4_languages,
     "op5_secrets": op5_secrets,
     "op6_substrings": op6_substrings,
     "op7_quality": op7_quality,

@@ -174,16 +174,19 @@ def _suffix_arrays(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()] * 2, strict=True)]
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """Columns doc, key, empty_id and packed: the text's bytes, compressed for the way."""
+def packed_texts(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Columns doc, key, ``more`` and packed: the text's bytes, compressed for the way."""
+    names = ["doc", "key", *more]
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             packed = [zlib.compress(t.encode(), 6) for t in batch.column("text").to_pylist()]
-            columns = [*(batch.column(c) for c in ("doc", "key", "empty_id")), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "empty_id", "packed"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(packed, pa.binary())], [*names, "packed"]
+            )
 
-    return docs.mapInArrow(run, "doc long, key long, empty_id boolean, packed binary")
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", packed binary")
 
 
 def _padded(strings: list[bytes], width: int) -> np.ndarray:
@@ -386,8 +389,8 @@ def merged(spans: list[int]) -> list[list[int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary).
+def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document: ``keep``, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary).
 
     Bytes are those of UTF-8; null and empty texts have none. Repeated rows repeat each other's strings. ``length`` is
     33 to 280. A removed run may begin or end within a character.
@@ -400,10 +403,10 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"),
         F.xxhash64(text, F.col("doc_id").isNull()).alias("key"),
-        F.col("doc_id").isNull().alias("empty_id"),
+        F.struct(*keep).alias("_keep"),
         text.alias("text"),
     )
-    spans = repeated_spans(rows, length)
+    spans = repeated_spans(rows.drop("_keep"), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,16 +414,39 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             for packed, found in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = zlib.decompress(packed)
                 runs = merged(found or [])
-                at, kept = 0, []
+                at, parts = 0, []
                 for a, b in runs:
-                    kept.append(raw[at:a])
+                    parts.append(raw[at:a])
                     at = b
-                kept = b"".join([*kept, raw[at:]])
+                kept = b"".join([*parts, raw[at:]])
                 for c, v in zip(out, (len(raw), len(raw) - len(kept), len(runs), kept), strict=True):
                     c.append(v)
-            ids = [None if e else d for d, e in zip(batch.column("doc").to_pylist(), batch.column("empty_id").to_pylist(), strict=True)]
-            arrays = [pa.array(c, pa.int64()) for c in (ids, *out[:3])] + [pa.array(out[3], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            arrays = [batch.column("_keep"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["_keep", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    joined = packed_texts(rows, ("_keep",)).join(spans, ["doc", "key"], "left").select("_keep", "packed", "spans")
+    kind = dict(joined.dtypes)["_keep"]
+    done = joined.mapInArrow(run, f"_keep {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return done.select(*(F.col("_keep")[c].alias(c) for c in keep), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def cleaned(docs: DataFrame, length: int = 200) -> DataFrame:
+    """The documents without repeated strings: column text is what is left, less the rest of a character that a cut
+    went through; null stays null, other columns stay as they are."""
+    names = docs.columns
+    rows = docs.select("doc_id", "text", F.struct(*(c for c in names if c != "text"), F.col("text").isNull().alias("_null")).alias("_doc"))
+    done = without_repeats(rows, length, ("_doc",))
+    return _decoded(done.select("_doc", "kept")).select(
+        *((F.when(~F.col("_doc._null"), F.col("_text")) if c == "text" else F.col("_doc")[c]).alias(c) for c in names)
+    )
+
+
+def _decoded(done: DataFrame) -> DataFrame:
+    kind = dict(done.dtypes)["_doc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string())], ["_doc", "_text"])
 
-    joined = packed_texts(rows).join(spans, ["doc", "key"], "left")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return done.mapInArrow(run, f"_doc {kind}, _text string")
