@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 def top_n(df: DataFrame, k: int, by: str, within=()) -> DataFrame:
     """Rows whose ``by`` is among the k largest of the group (or of the table), ties kept.
 
-    A null never ranks. Spark cuts each task's rows to its own first k before the shuffle, so a
-    large group does not travel whole.
+    A null never ranks. In a whole table the k-th value is found first, from each task's own k largest,
+    and the rows are then filtered by it: they stay where they are, however many are tied. In groups Spark
+    cuts each task's rows to its own first k before the shuffle, up to its group-limit threshold.
     """
+    if not within:
+        largest = df.select(by).where(F.col(by).isNotNull()).orderBy(F.col(by).desc()).limit(k)
+        return df.where(F.col(by) >= largest.agg(F.min(by)).scalar())
     rank = F.rank().over(Window.partitionBy(*within).orderBy(F.col(by).desc()))
     return df.where(F.col(by).isNotNull()).withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 

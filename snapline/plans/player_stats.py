@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.na import fill_numeric, if_else, is_in, na_mean, na_sum, not_in, number_text, percent_text, safe_ratio
@@ -115,9 +115,9 @@ def pace_chart(
         (((F.col("games") >= min_games) & (F.col("opps") >= min_opps)) | is_in("player_name", always))
         & not_in("player_name", retired)
     )
-    best = kept.agg(F.max("epa_17")).scalar()
+    # Shading marks the retired, who are not in the table, so it is the pace of all others.
     kept = kept.withColumn("player_label", F.concat_ws(" - ", "player_name", "position")).withColumn(
-        "new_alpha", F.when(is_in("player_name", retired), best).otherwise(F.col("epa_17"))
+        "new_alpha", F.col("epa_17")
     )
     return top_n(kept.where(is_in("position", positions) & (F.col("epa") > 0)), k, "epa_17")
 
@@ -128,7 +128,7 @@ def passer_rate_chart(
     """The k passers with the most touchdowns per opportunity."""
     kept = pace.where((F.col("games") >= min_games) & (F.col("opps") >= min_opps) & (F.col("position") == "QB"))
     best = top_n(kept.withColumn("player_label", F.concat_ws(" - ", "player_name", "position")), k, "td_opp")
-    top = best.agg(F.max("td_opp")).scalar()
+    top = F.max("td_opp").over(Window.partitionBy())
     return best.withColumn("new_alpha", F.when(is_in("player_name", retired), top).otherwise(F.col("td_opp")))
 
 

@@ -94,7 +94,7 @@ def read_grid_draws(projections: DataFrame, low: float = MAIN_FLOOR) -> DataFram
     long = wide_to_long(projections, "number", "sim_num", "sim_proj")
     return long.select(
         "player", "pos", extract_first("sim_num", "[0-9]+").cast("int").alias("sim_num"),
-        floor_at("sim_proj", low).alias("sim_proj"),
+        floor_at(F.col("sim_proj").cast("double"), low).alias("sim_proj"),
     )
 
 
@@ -105,6 +105,8 @@ def grid_scores(draws: DataFrame, grid: DataFrame) -> DataFrame:
     the draws are averaged per player first and the draws-by-lineups table is never formed.
     """
     sims = draws.agg(F.count_distinct("sim_num")).scalar()
+    # A player with several rows has their sum in each draw.
+    draws = draws.groupBy("player", "pos", "sim_num").agg(na_sum("sim_proj").alias("sim_proj"))
     player = draws.groupBy("player", "pos").agg(
         F.avg("sim_proj").alias("_mean"), F.count("sim_proj").alias("_have")
     )

@@ -20,7 +20,7 @@ SPREAD_MISSING = 5.0
 CAPTAIN = 1.5
 
 
-def convert_feed(feed: DataFrame, boom_bust: DataFrame) -> DataFrame:
+def convert_feed(feed: DataFrame, boom_bust: DataFrame, keep_known: bool = False) -> DataFrame:
     """Salary feed to captain and flex rows with projections.
 
     A captain row takes position and salary from the player's flex row. A player without a projection
@@ -49,12 +49,20 @@ def convert_feed(feed: DataFrame, boom_bust: DataFrame) -> DataFrame:
     )
     own = read.select(F.col("player").alias("player_id"), "team", "my_proj")
     out = natural_join(priced, own, "left", ["player_id", "team"])
-    return out.withColumn("fpts_proj", F.coalesce("fpts_proj", "my_proj")).drop("my_proj")
+    filled = F.coalesce("fpts_proj", "my_proj")
+    return out.withColumns({"known_proj": F.col("fpts_proj"), "fpts_proj": filled} if keep_known else {"fpts_proj": filled}).drop(
+        "my_proj"
+    )
 
 
 def number_feed(converted: DataFrame) -> DataFrame:
-    """Number a team's rows from the best projection down."""
-    return best_first(converted, ["team"], "fpts_proj", ["player_id", "position"], "row_id")
+    """Number a contest's rows from the best projection down.
+
+    ``converted`` comes with known_proj: rows whose projection is only the feed's own come last.
+    """
+    contest = converted.withColumns({"_one": F.least("team", "opp"), "_two": F.greatest("team", "opp")})
+    numbered = best_first(contest, ["_one", "_two"], "known_proj", ["player_id", "position"], "row_id")
+    return numbered.drop("_one", "_two", "known_proj")
 
 
 def unmatched(converted: DataFrame) -> DataFrame:

@@ -148,6 +148,7 @@ FEED = """feed AS (
 converted AS (
   SELECT name AS player_id, player, CAST(trunc(salary * CASE WHEN cpt THEN 1.5 ELSE 1 END) AS INT) AS salary, f.team, f.opp,
     CASE WHEN cpt THEN 'CPTN' ELSE 'FLEX' END AS position, f.pos,
+    k.projection * CASE WHEN cpt THEN 1.5 ELSE 1 END AS known_proj,
     coalesce(k.projection * CASE WHEN cpt THEN 1.5 ELSE 1 END, f.my_proj) AS fpts_proj,
     coalesce(k.std_dev, 5.5) * CASE WHEN cpt THEN 1.5 ELSE 1 END AS std_dev
   FROM feed f LEFT JOIN (SELECT name, projection, CASE WHEN p_partkey % 8 <> 5 THEN std_dev END AS std_dev
@@ -249,8 +250,8 @@ def _final_form(s, d):
     return S.mean_scores(S.score_in_slates(draws.withColumnRenamed("slate", "sim"), own, ["slate"]), ["slate"])
 
 
-def _converted(s, d):
-    return D.convert_feed(V.showdown_feed(s, d), V.known_projections(s, d))
+def _converted(s, d, keep_known=False):
+    return D.convert_feed(V.showdown_feed(s, d), V.known_projections(s, d), keep_known)
 
 
 def _showdown(s, d):
@@ -335,9 +336,10 @@ QUERIES = {
           {r6("fpts_proj")} FROM sd WHERE position = 'FLEX'""",
     ),
     "q22_feed_conversion": (
-        lambda s, d: tidy(D.number_feed(_converted(s, d))),
+        lambda s, d: tidy(D.number_feed(_converted(s, d, True))),
         f"""WITH {PLAYERS}, {FEED} SELECT player_id, player, salary, team, opp, position, pos, {r6("fpts_proj", "std_dev")},
-          row_number() OVER (PARTITION BY team ORDER BY fpts_proj DESC NULLS LAST, player_id, position) AS row_id FROM converted""",
+          row_number() OVER (PARTITION BY least(team, opp), greatest(team, opp)
+            ORDER BY known_proj DESC NULLS LAST, player_id, position) AS row_id FROM converted""",
     ),
     "q22_captain_rows": (
         lambda s, d: D.numbered_showdown(tidy(_showdown(s, d))),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED = {
@@ -32,27 +30,18 @@ def local_session(app: str = "snapline", cpus: int | str = "*", partitions: int
     return builder.getOrCreate()
 
 
-def _checkpoint_ready(spark: SparkSession) -> bool:
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return True
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-        return True
-    if context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="snapline-checkpoint-"))
-        return True
-    return False
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where none is, one in the warehouse, which is shared as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint a small table that later steps read many times.
-
-    On a cluster that names no ``spark.checkpoint.dir`` the table is returned as it is:
-    every input of it is a pure function of the data, so recomputing is safe, only slower.
-    """
-    return df.checkpoint(eager=True) if _checkpoint_ready(df.sparkSession) else df
+    """Checkpoint a small table that later steps read many times. The job that computes it runs at once."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def parallelism(spark: SparkSession) -> int:

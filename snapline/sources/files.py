@@ -45,8 +45,11 @@ SCHEMAS = {
         "name string, team string, opponent string, attempts double, pass_yd double, touchdowns double, fum_l double"
     ),
     "dk_projections": "name string, position string, team string, opponent string, salary int",
+    # Slot and draw columns beyond these are taken as they come.
+    "lineup_grid": "number int",
+    "grid_projections": "player string, pos string",
     "season_projections": (
-        "team string, pos string, week int, ecr double, projection double, projected_score double"
+        "name string, team string, pos string, week int, ecr double, projection double, projected_score double"
     ),
 }
 
@@ -56,23 +59,18 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
     Columns are read as text, normalised by name, then cast: real files carry more columns than a
     schema names and in any order, and a positional schema would shift them. Columns outside the
-    schema stay text; without a schema Spark infers the types.
+    schema stay text; without a schema Spark infers the types. NA is how these files write a missing
+    number or text.
     """
     if schema is None:
-        return clean_names(spark.read.option("header", True).option("inferSchema", True).csv(path))
-    df = clean_names(spark.read.option("header", True).csv(path))
+        return clean_names(spark.read.options(header=True, inferSchema=True, nullValue="NA").csv(path))
+    df = clean_names(spark.read.options(header=True, nullValue="NA").csv(path))
     wanted = spark.createDataFrame([], schema).schema
     missing = [f.name for f in wanted if f.name not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks columns {missing}")
     types = {f.name: f.dataType for f in wanted}
-    # NA is how a missing number or text is written in these files.
-    return df.select(
-        *[
-            F.nullif(F.col(c), F.lit("NA")).try_cast(types[c]).alias(c) if c in types else F.col(c)
-            for c in df.columns
-        ]
-    )
+    return df.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
 
 
 def read_named_csv(spark: SparkSession, path: str, table: str) -> DataFrame:

@@ -144,11 +144,16 @@ def test_top_n_keeps_ties_and_drops_null(spark, rows):
     assert rows(topn.last_rows(df, "w", ["g"])) == [("a", 3), ("a", 3), ("b", 2)]
 
 
-def test_top_n_cuts_before_the_shuffle(spark):
-    df = spark.range(100).selectExpr("id % 3 as g", "id as w")
-    plan = topn.top_n(df, 2, "w", ["g"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
-    assert "WindowGroupLimit" in topn.top_n(df, 2, "w")._jdf.queryExecution().executedPlan().toString()
+def test_top_n_cuts_before_the_shuffle(spark, rows):
+    df = spark.range(10_000).selectExpr("id % 3 as g", "id as w")
+    assert "WindowGroupLimit" in topn.top_n(df, 2, "w", ["g"])._jdf.queryExecution().executedPlan().toString()
+    for k in (2, 2000):
+        plan = topn.top_n(df, k, "w")._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan and "Window" not in plan
+    # All rows tied: they are filtered where they are.
+    tied = topn.top_n(spark.range(50).selectExpr("id", "1.0 as w"), 3, "w")
+    assert tied.count() == 50
+    assert rows(topn.top_n(spark.createDataFrame([(1, None), (2, None)], "a int, w double"), 1, "w")) == []
 
 
 @pytest.mark.parametrize("cell", [0.25, 3.0, 1000.0])

@@ -184,7 +184,7 @@ def test_feed_conversion(spark):
     assert got["Al Bo", "FLEX"].fpts_proj == 2.0 and got["Al Bo", "CPTN"].fpts_proj == 2.0
     assert (got["Al Bo", "FLEX"].std_dev, got["Al Bo", "CPTN"].std_dev) == (5.5, 8.25)
     assert showdown.unmatched(out).count() == 0
-    numbered = {(r.player_id, r.position): r.row_id for r in showdown.number_feed(out).collect()}
+    numbered = {(r.player_id, r.position): r.row_id for r in showdown.number_feed(showdown.convert_feed(feed, known, True)).collect()}
     assert numbered["Joe Fox", "CPTN"] == 1 and sorted(numbered.values()) == [1, 2, 3, 4]
     sim = {(r.slate, r.player_id, r.position): r for r in showdown.simulate_showdown(out, 2, 5).collect()}
     assert sim[1, "Joe Fox", "CPTN"].fpts_proj is None  # no passer on the team
@@ -268,3 +268,40 @@ def test_season_layout_prunes(spark, tmp_path):
     assert df.count() == 3
     scan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(season" in scan
+
+
+def test_grid_files_with_missing_values(spark, tmp_path):
+    from snapline.plans import scoring
+    from snapline.sources.files import read_csv, read_named_csv
+
+    (tmp_path / "draws.csv").write_text("Player,Pos,number 1,number 2\nA Bee,QB,1.5,NA\nA Bee,QB,2,3\nC Dee,RB,NA,4\n")
+    (tmp_path / "grid.csv").write_text("number,QB,RB 1\n1,A Bee 12,C Dee 7\n2,NA,A Bee 3\n")
+    for draws in (read_csv(spark, str(tmp_path / "draws.csv")), read_named_csv(spark, str(tmp_path / "draws.csv"), "grid_projections")):
+        long = scoring.read_grid_draws(draws)
+        assert dict(long.dtypes)["sim_proj"] == "double"
+        assert sorted((r.player, r.sim_num, r.sim_proj or -9.0) for r in long.collect()) == [
+            ("A Bee", 1, 1.5), ("A Bee", 1, 2.0), ("A Bee", 2, -9.0), ("A Bee", 2, 3.0), ("C Dee", 1, -9.0), ("C Dee", 2, 4.0),
+        ]
+    grid = read_named_csv(spark, str(tmp_path / "grid.csv"), "lineup_grid")
+    assert dict(grid.dtypes)["number"] == "int" and grid.where("qb is null").count() == 1
+
+
+def test_two_rows_of_a_player_are_summed_per_draw(spark, rows):
+    from snapline.plans import scoring
+
+    draws = spark.createDataFrame(
+        [("a", "QB", 1, 1.0), ("a", "QB", 1, 2.0), ("a", "QB", 2, 5.0), ("a", "QB", 2, 0.0), ("b", "RB", 1, 1.0), ("b", "RB", 2, 3.0)],
+        "player string, pos string, sim_num int, sim_proj double",
+    )
+    grid = spark.createDataFrame([(1, "a", "QB", "x"), (1, "b", "RB", "x")], "number int, player string, pos string, team string")
+    assert rows(scoring.grid_scores(draws, grid)) == [(1, 6.0)]
+
+
+def test_rows_without_a_known_projection_are_numbered_last(spark, rows):
+    from snapline.plans import showdown
+
+    feed = spark.createDataFrame(
+        [("p", "FLEX", "A", "B", 1.0, 9.0), ("q", "FLEX", "B", "A", 2.0, 2.0), ("r", "FLEX", "A", "B", None, 50.0)],
+        "player_id string, position string, team string, opp string, known_proj double, fpts_proj double",
+    )
+    assert rows(showdown.number_feed(feed), "player_id", "row_id") == [("p", 2), ("q", 1), ("r", 3)]
