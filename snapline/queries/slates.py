@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.reshape import nest_rows, unnest_rows
+from ..operators.reshape import nest_rows
 from ..plans import lineups as L
 from ..plans import scoring as S
 from ..plans import showdown as D
@@ -15,9 +15,11 @@ from .common import r6, tidy
 SEED = 20240101
 LINEUP_SEED = 20240202
 SLATES = 15
-SHOWDOWN_SLATES = 2
+SHOWDOWN_SLATES = 25
+# The lineup search over showdown slates runs on fewer of them; README, "Not built".
+SEARCHED_SLATES = 2
 SHOWDOWN_LINEUPS = 2
-KEPT = 5
+KEPT = 15
 GRID_KEPT = 150
 
 PLAYERS = """part_numbers AS (
@@ -254,19 +256,24 @@ def _converted(s, d, keep_known=False):
     return D.convert_feed(V.showdown_feed(s, d), V.known_projections(s, d), keep_known)
 
 
-def _showdown(s, d):
-    return D.simulate_showdown(_converted(s, d), SHOWDOWN_SLATES, SEED, 10.0)
+def _showdown(s, d, slates=SHOWDOWN_SLATES):
+    return D.simulate_showdown(_converted(s, d), slates, SEED, 10.0)
 
 
 def _showdown_best(s, d):
-    return L.best_showdown_lineups(_showdown(s, d), best=SHOWDOWN_LINEUPS)
+    return L.best_showdown_lineups(_showdown(s, d, SEARCHED_SLATES), best=SHOWDOWN_LINEUPS)
 
 
 def _members_nested(s, d):
-    """Lineup members nested per lineup, then laid flat again."""
+    """Lineup members nested per lineup: how many, the first, and all names."""
     picked = _picked(s, d).select("slate", "lineup", "player", "position", "salary")
     nested = nest_rows(picked, ["slate", "lineup"], ["player", "position", "salary"], "data")
-    return unnest_rows(nested, "data")
+    first = F.element_at("data", 1)
+    return nested.select(
+        "slate", F.col("lineup").cast("int").alias("lineup"), F.size("data").cast("bigint").alias("members"),
+        first["player"].alias("first_player"), first["salary"].cast("bigint").alias("first_salary"),
+        F.array_join(F.transform("data", lambda m: m["player"]), ", ").alias("players"),
+    )
 
 
 def _grid(s, d):
@@ -282,7 +289,7 @@ def _grid_scores(s, d):
 
 
 _MEMBER_COLS = "slate, CAST(lineup AS INT) AS lineup, round(lineup_points, 4) + 0.0 AS lineup_points, CAST(lineup_salary AS BIGINT) AS lineup_salary, player, team, position, salary, round(fpts_proj, 4) + 0.0 AS fpts_proj"
-_SD_LINEUPS = SHOWDOWN_SLATES * SHOWDOWN_LINEUPS
+_SD_LINEUPS = SEARCHED_SLATES * SHOWDOWN_LINEUPS
 
 QUERIES = {
     "q17_unpivot_extract": (
@@ -302,7 +309,9 @@ QUERIES = {
     ),
     "q18_nested_members": (
         _members_nested,
-        f"WITH {PLAYERS}, {PICKED_BEST} SELECT slate, lineup, player, position, salary FROM pick_members",
+        f"""WITH {PLAYERS}, {PICKED_BEST} SELECT slate, CAST(lineup AS INT) AS lineup, count(*) AS members,
+          min(player) AS first_player, CAST(arg_min(salary, player) AS BIGINT) AS first_salary,
+          string_agg(player, ', ' ORDER BY player) AS players FROM pick_members GROUP BY ALL""",
     ),
     "q19_qb_linked": (
         lambda s, d: tidy(_sim(s, d)),
