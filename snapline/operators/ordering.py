@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import natural_join, salted_join
+from .joins import salted_join
 
 ID_BLOCK = 1 << 20
 ROLL_BLOCK = 1 << 16
@@ -27,13 +27,25 @@ def asc_last(*names: str) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 
 
-def _offsets(df: DataFrame, keys, chunk, chunk_order, measure: Column) -> DataFrame:
+def _plain(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
+    """Columns without nulls that stand for ``names``: equal where those are equal or both missing.
+
+    Windows and joins over these partition alike, so detail sorted for the one is in place for the other.
+    """
+    kinds, out = dict(df.dtypes), {}
+    for i, name in enumerate(dict.fromkeys(names)):
+        number = kinds[name] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+        value = F.col(name) if number else F.col(name).cast("string")
+        out[f"_p{i}"] = F.coalesce(value, F.lit(0).cast(kinds[name]) if number else F.lit(""))
+        out[f"_q{i}"] = F.col(name).isNull()
+    return out
+
+
+def _offsets(df: DataFrame, plain, keys, chunk, chunk_order, measure: Column) -> DataFrame:
     """Total of ``measure`` over the chunks that come before each chunk of the group."""
     before = Window.partitionBy(*keys).orderBy(*chunk_order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, *chunk).agg(measure.alias("_total"))
-    return totals.select(
-        *keys, *chunk, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
-    )
+    totals = df.groupBy(*plain, *dict.fromkeys([*keys, *chunk])).agg(measure.alias("_total"))
+    return totals.select(*plain, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
 
 
 def positions(
@@ -41,10 +53,13 @@ def positions(
     chunk_order: Sequence[Column], name: str,
 ) -> DataFrame:
     """Row number within each group in the given total order."""
-    inside = F.row_number().over(Window.partitionBy(*keys, *chunk).orderBy(*order))
-    offsets = _offsets(df, keys, chunk, chunk_order, F.count(F.lit(1)))
-    numbered = natural_join(df.withColumn("_inside", inside), offsets, "left", [*keys, *chunk])
-    return numbered.withColumn(name, (F.col("_inside") + F.col("_offset")).cast("bigint")).drop("_inside", "_offset")
+    plain = _plain(df, [*keys, *chunk])
+    rows = df.withColumns(plain)
+    inside = F.row_number().over(Window.partitionBy(*plain).orderBy(*order))
+    offsets = _offsets(rows, plain, keys, chunk, chunk_order, F.count(F.lit(1)))
+    numbered = rows.withColumn("_inside", inside).join(offsets, list(plain), "left")
+    number = (F.col("_inside") + F.col("_offset")).cast("bigint")
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns if c != name], number.alias(name))
 
 
 def running_total(
@@ -52,10 +67,13 @@ def running_total(
     chunk_order: Sequence[Column], value: str, name: str,
 ) -> DataFrame:
     """Cumulative sum of ``value`` within each group in the given total order."""
-    upto = Window.partitionBy(*keys, *chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = _offsets(df, keys, chunk, chunk_order, F.sum(value))
-    summed = natural_join(df.withColumn("_inside", F.sum(value).over(upto)), offsets, "left", [*keys, *chunk])
-    return summed.withColumn(name, F.col("_inside") + F.col("_offset")).drop("_inside", "_offset")
+    plain = _plain(df, [*keys, *chunk])
+    rows = df.withColumns(plain)
+    upto = Window.partitionBy(*plain).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = _offsets(rows, plain, keys, chunk, chunk_order, F.sum(value))
+    summed = rows.withColumn("_inside", F.sum(value).over(upto)).join(offsets, list(plain), "left")
+    total = F.col("_inside") + F.col("_offset")
+    return summed.select(*[F.col(f"`{c}`") for c in df.columns if c != name], total.alias(name))
 
 
 def centered_frame(width: int) -> tuple[int, int]:

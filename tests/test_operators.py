@@ -229,3 +229,17 @@ def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
     assert sorted(r.x for r in after.collect()) == [0, 2, 4, 6, 8]
     assert "Range" not in after._jdf.queryExecution().optimizedPlan().toString()
     assert parallelism(spark) >= 4
+
+
+def test_detail_is_shuffled_once_for_an_ordering(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).selectExpr("nullif(id % 7, 3) as g", "cast(id % 5 as string) as c", "id")
+        numbered = ordering.positions(df, ["g"], [F.col("id")], ["c"], [F.col("c")], "n")
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        # One exchange of the detail; the others carry one row per group, chunk and task.
+        detail = [x for x in plan.split("\n") if "Exchange" in x]
+        assert len(detail) <= 4 and plan.count("+- Window") + plan.count("- Window") <= 4
+        assert numbered.selectExpr("count(*)", "max(n)").first()[0] == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
