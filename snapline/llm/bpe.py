@@ -13,7 +13,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts, ship_code
 
 #: Words remembered by a worker; later ones are merged anew in each step.
-MEMORY = 400_000
+MEMORY = 600_000
 #: Pieces up to this many bytes are merged in lockstep.
 LOCKSTEP = 64
 NEVER = np.int64(1 << 60)
@@ -47,8 +47,14 @@ class Merges:
         self.ranks = np.array([r[1] for r in rows] + [0], np.int64)
         self.to = np.zeros(max([0, *(r[1] for r in rows)]) + 1, np.int64)
         self.to[self.ranks[:-1]] = [r[2] for r in rows]
-        self.pairs = {k: (rank, to) for k, rank, to in rows}
         self.single = np.array([vocab[bytes([b])] for b in range(256)], np.int64)
+        left, right = np.repeat(self.single, 256), np.tile(self.single, 256)
+        self.bytes_rank = self.rank_of(left, right)
+
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        ranks = self.ranks[:-1].tolist()
+        return {k: (r, t) for k, r, t in zip(self.keys[:-1].tolist(), ranks, self.to[self.ranks[:-1]].tolist(), strict=True)}
 
     @classmethod
     def read(cls, path: str) -> Merges:
@@ -96,7 +102,9 @@ class Merges:
         before = np.tile(np.arange(-1, width), (n, 1))
         before[:, 0] = width
         tree = np.full((n, 2 * width), NEVER, np.int64)
-        rank = self.rank_of(token[:, :width], np.take_along_axis(token, after, 1))
+        rank = np.full((n, width), NEVER, np.int64)
+        rank[:, :-1] = self.bytes_rank[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]
+        rank[place + 1 >= lengths[:, None]] = NEVER
         tree[:, width:] = np.where(rank < NEVER, rank * width + place, NEVER)
         for i in range(width - 1, 0, -1):
             tree[:, i] = np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1])
@@ -189,8 +197,8 @@ class Merges:
             else:
                 groups.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(p)
         for width, group in groups.items():
-            for at in range(0, len(group), 1 << 15):
-                part = group[at : at + (1 << 15)]
+            for at in range(0, len(group), 1 << 13):
+                part = group[at : at + (1 << 13)]
                 out |= zip(part, self.merge_rows(part, width), strict=True)
         return out
 
@@ -198,7 +206,9 @@ class Merges:
 class _Words(dict):
     """Ids of words as bytes; ``later`` holds those of the present step that don't fit any more."""
 
-    later: dict[str, bytes] = {}
+    def __init__(self):
+        super().__init__()
+        self.later: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         return self.later[word]
@@ -210,40 +220,58 @@ class Encoder:
     #: A space before anything but white space always begins a piece, so words can be encoded on their own.
     LOOSE = re.compile(r" (?=\s|\Z)")
     CUT = re.compile(r"(?<!\s)(?= \S)")
+    #: Up to here letters and marks are the same in every Unicode version, so the pattern isn't asked.
+    PLAIN, MARKS = "\u024f", frozenset(".,;:!?")
 
     def __init__(self, merges: Merges, pattern: str):
         self.merges = merges
         self.pattern = regex.compile(pattern)
-        self.known = _Words()
-
-    def _words(self, text: str) -> list[str]:
-        if self.LOOSE.search(text):
-            return self.CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + w for w in rest)] if first else [" " + w for w in rest]
-
-    def _learn(self, missing: set[str]) -> None:
-        words = list(missing)
-        pieces = [[p.encode() for p in self.pattern.findall(w)] for w in words]
+        #: Words after a space, and other stretches as they stand.
+        self.spaced, self.other = _Words(), _Words()
+
+    def _pieces(self, word: str) -> list[str]:
+        """Pieces of a word and the space before it."""
+        if word and max(word) <= self.PLAIN:
+            if word.isalpha():
+                return [" " + word]
+            if word[-1] in self.MARKS and word[:-1].isalpha():
+                return [" " + word[:-1], word[-1]]
+        return self.pattern.findall(" " + word)
+
+    def _learn(self, spaced: set[str], other: set[str]) -> None:
+        words = [list(spaced), list(other)]
+        pieces = [[p.encode() for p in self._pieces(w)] for w in words[0]]
+        pieces += [[p.encode() for p in self.pattern.findall(w)] for w in words[1]]
         ids = {p: array("I", x).tobytes() for p, x in self.merges.merge(p for ps in pieces for p in ps).items()}
-        found = {w: b"".join(map(ids.__getitem__, ps)) for w, ps in zip(words, pieces, strict=True)}
-        if len(self.known) + len(found) <= MEMORY:
-            self.known.update(found)
-        else:
-            self.known.later = found
+        each = iter([ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps)) for ps in pieces])
+        for memory, found in ((self.spaced, words[0]), (self.other, words[1])):
+            found = dict(zip(found, each, strict=False))
+            if len(memory) + len(found) <= MEMORY:
+                memory.update(found)
+            else:
+                memory.later = found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, null as empty; special strings are text."""
-        split = [self._words(t) if t else [] for t in texts]
-        missing = set()
-        for words in split:
-            missing.update(words)
-        missing.difference_update(self.known)
-        self.known.later = {}
-        if missing:
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        split = []
+        spaced, other = set(), set()
+        for text in texts:
+            if not text:
+                split.append(([], []))
+            elif self.LOOSE.search(text):
+                split.append((self.CUT.split(text), []))
+            else:
+                first, *words = text.split(" ")
+                split.append(([first], words))
+            other.update(split[-1][0])
+            spaced.update(split[-1][1])
+        self.spaced.later, self.other.later = {}, {}
+        spaced.difference_update(self.spaced)
+        other.difference_update(self.other)
+        if spaced or other:
+            self._learn(spaced, other)
+        get_other, get = self.other.__getitem__, self.spaced.__getitem__
+        return [b"".join([*map(get_other, a), *map(get, b)]) for a, b in split]
 
     def encode_special(self, texts: list[str | None]) -> list[bytes]:
         """As ``encode``, but the strings of special tokens give their ids, as tokenizers do by default."""
@@ -266,17 +294,22 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(Merges.read(path), pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), with_decoded: bool = False
+) -> DataFrame:
     """Columns ``keep``, n_tokens and ids (binary, little-endian unsigned 32-bit) of every text.
 
-    Null and empty texts give no ids. One pass, nothing is shuffled.
+    Null and empty texts give no ids. One pass, nothing is shuffled. ``with_decoded`` adds decoded, the bytes that the
+    ids stand for, in the same pass.
     """
 
     def work(texts):
-        ids = encoder(path, pattern).encode(texts)
-        return [[len(x) // 4 for x in ids], ids]
+        one = encoder(path, pattern)
+        ids = one.encode(texts)
+        return [[len(x) // 4 for x in ids], ids] + ([list(map(one.decode, ids))] if with_decoded else [])
 
-    return map_texts(docs, list(keep), [("n_tokens", "long"), ("ids", "binary")], work)
+    fields = [("n_tokens", "long"), ("ids", "binary")] + ([("decoded", "binary")] if with_decoded else [])
+    return map_texts(docs, list(keep), fields, work)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python task handles at a time; a longer text is a step of its own.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def scratch_folder(spark: SparkSession) -> str:
