@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    tokens = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), *where), *where)
+    tokens = bpe.encode(_read(spark, sf_dir, "documents"), *where, with_decoded=True)
     return tokens.select(
         "doc_id",
         "n_tokens",
