@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .joins import natural_join, salted_join
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], cell: float
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], cell: float, weight: str | None = None
 ) -> DataFrame:
     """One row per group: the count ``n`` and the linearly interpolated quantiles of ``value``.
 
@@ -20,12 +19,13 @@ def grouped_quantiles(
     counted per cell of width ``cell``; the running cell counts tell which cells hold the wanted order
     statistics, and only the values of those cells are ranked. Choose ``cell`` so that a group has some
     hundreds of cells: both the cells of a group and the distinct values of a cell are sorted in one task.
+    A row stands for as many values as its ``weight`` says, for one where none is named.
     """
     keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
         .withColumn("_cell", F.floor(F.col("_v") / F.lit(float(cell))))
     )
     by_cell = Window.partitionBy(*keys).orderBy("_cell")
@@ -75,11 +75,14 @@ def density_curve(
 
     Bandwidth is 0.9 * min(sd, iqr / 1.34) * n^(-1/5). Values are counted in ``bins`` even bins per
     group first, so the kernel sum runs over at most bins x points rows per group, whatever the data size.
+    A value moves by half a bin at most: with d the bin's width over the bandwidth, the curve is off by at
+    most 0.25 * d / bandwidth, and by about d^2 / 24 times its curvature in general.
     """
     keys = list(keys)
-    # Keys and values only, read three times below.
-    df = cut_lineage(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
-    iqr = grouped_quantiles(df, keys, "_v", {"_q1": 0.25, "_q3": 0.75}, cell).drop("n")
+    df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    # Each value of a group once; the quantiles and the bins are read from these counts.
+    counts = df.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    iqr = grouped_quantiles(counts, keys, "_v", {"_q1": 0.25, "_q3": 0.75}, cell, "_w").drop("n")
     stats = natural_join(
         df.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"), F.stddev_samp("_v").alias("_sd"),
@@ -97,8 +100,8 @@ def density_curve(
         F.least(F.floor((F.col("_v") - F.col("_min")) / F.col("_step")), F.lit(bins - 1)),
     ).otherwise(F.lit(0))
     binned = (
-        salted_join(df, span, keys, ["_v"]).withColumn("_bin", bin_no)
-        .groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+        salted_join(counts, span, keys, ["_v"]).withColumn("_bin", bin_no)
+        .groupBy(*keys, "_bin").agg(F.sum("_w").alias("_c"))
     )
     center = F.col("_min") + (F.col("_bin") + 0.5) * F.col("_step")
     grid = (

@@ -1,5 +1,6 @@
 """Operators against plain Python on small random tables, with a group that holds most rows."""
 
+import math
 import random
 import statistics
 
@@ -243,3 +244,17 @@ def test_detail_is_shuffled_once_for_an_ordering(spark):
         assert numbered.selectExpr("count(*)", "max(n)").first()[0] == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_binned_density_is_close_to_the_kernel_sum(spark):
+    draw = random.Random(12)
+    values = [round(draw.gauss(0, 3), 2) for _ in range(400)] + [1.0] * 60
+    df = spark.createDataFrame([("a", v) for v in values], "g string, x double")
+    rows_ = quantiles.density_curve(df, ["g"], "x", 0.01).collect()
+    q = statistics.quantiles(values, n=4, method="inclusive")
+    band = 0.9 * min(statistics.stdev(values), (q[2] - q[0]) / 1.34) * len(values) ** -0.2
+    bound = 0.25 * (max(values) - min(values)) / 256 / band**2
+    for r in rows_:
+        exact = sum(math.exp(-0.5 * ((r.x - v) / band) ** 2) for v in values) / (len(values) * band * math.sqrt(2 * math.pi))
+        assert abs(r.density - exact) <= bound
+    assert len(rows_) == 64
