@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.na import fill_numeric, half_even, is_in, round_numeric, safe_ratio
@@ -139,6 +139,30 @@ def stat_chart(stats: DataFrame, metric: str, teams=None, shown=None) -> DataFra
     return arrange(stats.select("name", "team", metric), metric, "name")
 
 
+#: Bars of each chart, and the column that must be positive for a bar to be shown.
+CHARTS = {
+    "opps": ("opps", None),
+    "rush_yd": ("rush_yd", "rush_yd"),
+    "bad_yards": ("bad_yards", "bad_yards"),
+    "rec_yd": ("rec_yd", "rec_yd"),
+    "catches": ("catches", "catches"),
+    "yards": ("yards", "rec_yd"),
+}
+
+
+def stat_charts(stats: DataFrame, teams) -> DataFrame:
+    """The bars of all charts of the teams' players, numbered per chart from the smallest up."""
+    stats = stats.where(is_in("team", teams)).withColumn("bad_yards", F.col("rush") * 3)
+    bars = [
+        F.struct(F.lit(chart).alias("chart"), F.col(bar).cast("double").alias("shown"), (F.col(shown) > 0 if shown else F.lit(True)).alias("ok"))
+        for chart, (bar, shown) in CHARTS.items()
+    ]
+    each = stats.select("name", "team", F.explode(F.array(*bars)).alias("x")).where("x.ok")
+    each = each.select("name", "team", "x.chart", "x.shown")
+    upward = Window.partitionBy("chart").orderBy(F.col("shown").asc_nulls_last(), "name")
+    return each.withColumn("bar", F.row_number().over(upward))
+
+
 def usage_per_salary(stats: DataFrame, salaries: DataFrame, teams=None) -> DataFrame:
     """Opportunities and usage per 1000 of salary."""
     used = stats.drop("opponent").withColumn("usg", F.col("opps") + F.col("attempts"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.ordering import best_first
 from ..plans import blend as B
 from ..sources import standins as V
 from .common import r6, tidy
@@ -141,28 +142,31 @@ QUERIES = {
         f"WITH {LITERAL} SELECT {_STAT_COLS} FROM blended",
     ),
     "q13_stat_charts": (
+        lambda s, d: tidy(B.stat_charts(_blended(s, d), ("T3", "T4", "T20"))),
+        f"""WITH {BLENDED}, t AS (SELECT * FROM blended WHERE team IN ('T3', 'T4', 'T20')), bars AS (
+          SELECT name, team, 'opps' AS chart, opps AS shown FROM t
+          UNION ALL SELECT name, team, 'rush_yd', rush_yd FROM t WHERE rush_yd > 0
+          UNION ALL SELECT name, team, 'bad_yards', rush * 3 FROM t WHERE rush * 3 > 0
+          UNION ALL SELECT name, team, 'rec_yd', rec_yd FROM t WHERE rec_yd > 0
+          UNION ALL SELECT name, team, 'catches', catches FROM t WHERE catches > 0
+          UNION ALL SELECT name, team, 'yards', yards FROM t WHERE rec_yd > 0)
+        SELECT name, team, chart, round(shown, 6) + 0.0 AS shown,
+          CAST(row_number() OVER (PARTITION BY chart ORDER BY shown NULLS LAST, name) AS INT) AS bar FROM bars""",
+    ),
+    "q13_usage_per_salary": (
         lambda s, d: tidy(
-            B.stat_chart(_blended(s, d), "bad_yards", ("T3", "T4", "T20"), "bad_yards")
-            .withColumnRenamed("bad_yards", "shown").withColumn("chart", F.lit("bad_yards"))
-            .unionByName(
-                B.stat_chart(_blended(s, d), "yards", ("T3", "T4", "T20"), "rec_yd")
-                .withColumnRenamed("yards", "shown").withColumn("chart", F.lit("yards"))
+            best_first(_usage(s, d), [], "usg_1k", ["name", "team"], "place").select(
+                "name", "team", "position", "opponent", "salary", "usg", "opps_1k", "usg_1k", "place"
             )
         ),
-        f"""WITH {BLENDED} SELECT name, team, rush * 3 AS shown, 'bad_yards' AS chart FROM blended
-          WHERE team IN ('T3', 'T4', 'T20') AND rush * 3 > 0
-        UNION ALL SELECT name, team, round(yards, 6) + 0.0, 'yards' FROM blended
-          WHERE team IN ('T3', 'T4', 'T20') AND rec_yd > 0""",
-    ),
-    "q13_usage_per_salary": (
-        lambda s, d: tidy(_usage(s, d).select("name", "team", "position", "opponent", "salary", "usg", "opps_1k", "usg_1k")),
-        f"""WITH {BLENDED} SELECT name, team, ['WR', 'TE', 'RB', 'QB'][c_custkey % 4 + 1] AS position,
+        f"""WITH {BLENDED}, used AS (SELECT name, team, ['WR', 'TE', 'RB', 'QB'][c_custkey % 4 + 1] AS position,
           CASE WHEN c_custkey IS NOT NULL THEN 'T' || ((c_custkey + 5) % 32) END AS opponent,
-          CAST(sal AS INT) AS salary, round(opps + attempts, 6) + 0.0 AS usg,
-          round(opps / (nullif(sal, 0) / 1000), 6) + 0.0 AS opps_1k,
-          round((opps + attempts) / (nullif(sal, 0) / 1000), 6) + 0.0 AS usg_1k
+          CAST(sal AS INT) AS salary, opps + attempts AS usg, opps / (nullif(sal, 0) / 1000) AS opps_1k,
+          (opps + attempts) / (nullif(sal, 0) / 1000) AS usg_1k
         FROM blended LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 29 = 0 THEN 0 ELSE 3000 + 100 * (c_custkey % 60)
-          END AS sal FROM customer) ON k = c_custkey""",
+          END AS sal FROM customer) ON k = c_custkey)
+        SELECT name, team, position, opponent, salary, {r6("usg", "opps_1k", "usg_1k")},
+          row_number() OVER (ORDER BY usg_1k DESC NULLS LAST, name NULLS LAST, team NULLS LAST) AS place FROM used""",
     ),
     "q14_last6_mean": (
         lambda s, d: B.recent_points(_points(s, d), 6, ("event_id",)),
