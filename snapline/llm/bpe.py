@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts, ship_code
 
 #: Words remembered by a worker; later ones are merged anew in each step.
-MEMORY = 600_000
+MEMORY = 500_000
 #: Pieces up to this many bytes are merged in lockstep.
 LOCKSTEP = 64
 NEVER = np.int64(1 << 60)
@@ -35,6 +35,10 @@ def gpt_bytes() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Merges:
     """A vocabulary and the ranks of its pairs; ``special`` strings have ids of their own."""
 
@@ -88,8 +92,8 @@ class Merges:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.ranks[at], NEVER)
 
-    def merge_rows(self, pieces: list[bytes], width: int) -> list[list[int]]:
-        """Ids of pieces of 1 to ``width`` bytes, ``width`` a power of two: one segment tree per row, in lockstep."""
+    def merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """Ids (as bytes, 32 bits each) of pieces of 1 to ``width`` bytes, ``width`` a power of two: one segment tree per row, in lockstep."""
         n = len(pieces)
         lengths = np.fromiter(map(len, pieces), np.int64, n)
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
@@ -139,7 +143,7 @@ class Merges:
                     i = i >> 1
         kept = token[:, :width]
         alive = kept >= 0
-        flat, ends = kept[alive].tolist(), np.cumsum(alive.sum(1)).tolist()
+        flat, ends = kept[alive].astype("<u4").tobytes(), (4 * np.cumsum(alive.sum(1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def merge_long(self, piece: bytes) -> list[int]:
@@ -186,14 +190,14 @@ class Merges:
                 put(before[at], leaf(before[at]))
         return [t for t in token if t >= 0]
 
-    def merge(self, pieces: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Ids of each different piece."""
+    def merge(self, pieces: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of each different piece, as bytes."""
         out, groups = {}, {}
         for p in set(pieces):
             if (known := self.ids.get(p)) is not None and len(p) == 1:
-                out[p] = [known]
+                out[p] = as_bytes([known])
             elif len(p) > LOCKSTEP:
-                out[p] = self.merge_long(p)
+                out[p] = as_bytes(self.merge_long(p))
             else:
                 groups.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(p)
         for width, group in groups.items():
@@ -239,13 +243,19 @@ class Encoder:
         return self.pattern.findall(" " + word)
 
     def _learn(self, spaced: set[str], other: set[str]) -> None:
-        words = [list(spaced), list(other)]
+        known = self.spaced
+        # A mark after a word is a piece of its own, so the word may be known already.
+        marked = [w for w in spaced if w and w[-1] in self.MARKS and (w[:-1] in known or w[:-1] in spaced)]
+        marked = [w for w in marked if max(w) <= self.PLAIN and w[:-1].isalpha()]
+        words = list(spaced.difference(marked)), list(other)
         pieces = [[p.encode() for p in self._pieces(w)] for w in words[0]]
         pieces += [[p.encode() for p in self.pattern.findall(w)] for w in words[1]]
-        ids = {p: array("I", x).tobytes() for p, x in self.merges.merge(p for ps in pieces for p in ps).items()}
+        ids = self.merges.merge([m.encode() for m in self.MARKS] + [p for ps in pieces for p in ps])
         each = iter([ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps)) for ps in pieces])
-        for memory, found in ((self.spaced, words[0]), (self.other, words[1])):
-            found = dict(zip(found, each, strict=False))
+        new = dict(zip(words[0], each, strict=False))
+        marks = {m: ids[m.encode()] for m in self.MARKS}
+        new |= {w: (new.get(w[:-1]) or known[w[:-1]]) + marks[w[-1]] for w in marked}
+        for memory, found in ((self.spaced, new), (self.other, dict(zip(words[1], each, strict=True)))):
             if len(memory) + len(found) <= MEMORY:
                 memory.update(found)
             else:
@@ -281,7 +291,7 @@ class Encoder:
         cut = re.compile("(" + "|".join(map(re.escape, special)) + ")")
         parts = [cut.split(t) if t else [] for t in texts]
         plain = iter(self.encode([p for ps in parts for p in ps[::2]]))
-        fixed = {s: array("I", [i]).tobytes() for s, i in special.items()}
+        fixed = {s: as_bytes([i]) for s, i in special.items()}
         return [b"".join(fixed[p] if i & 1 else next(plain) for i, p in enumerate(ps)) for ps in parts]
 
     def decode(self, ids: bytes) -> bytes:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Merges
+from .bpe import Merges, as_bytes
 from .common import map_texts
 
 #: Bytes after which a chunk ends with its piece, and how many steps are laid out at once.
@@ -92,7 +92,7 @@ class Counter:
         self.merges = merges
         self.special = merges.special
         encoded = merges.merge(merges.ids)
-        whole = {b: i for b, i in merges.ids.items() if encoded[b] == [i]}
+        whole = {b: i for b, i in merges.ids.items() if encoded[b] == as_bytes([i])}
         self.next: list[dict[int, int]] = [{}]
         self.depth, text = [0], [b""]
         for token in sorted(whole, key=len):
