@@ -17,20 +17,23 @@ from pyspark.sql import functions as F
 STEP_BYTES = 4 << 20
 
 
+_own_folders: dict[str, str] = {}
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    Only a local session, whose one process sees its own disk, may go without: it gets a temporary folder, which is
-    then set for the session.
+    Only a local session, whose one process sees its own disk, may go without: it gets a temporary folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    if context.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    named = "file://" + tempfile.mkdtemp(prefix="llm-scratch-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="llm-scratch-")
+    return _own_folders[context.applicationId]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,10 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+BATCH_ROWS, DEFAULT_BATCH_ROWS = 1500, "10000"
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, once per application, so that their Python workers import them."""
+    """Sends this package's modules to the executors, once per application, so that their Python workers import them.
+
+    Where the session leaves the rows of a batch for Python at Spark's default they become fewer, as documents are long.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == DEFAULT_BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -66,6 +76,16 @@ def ship_code(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def beside_text(docs: DataFrame) -> DataFrame:
+    """Columns _doc, a struct of all columns but text, and text."""
+    return docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_doc"), "text")
+
+
+def laid_flat(rows: DataFrame, names: list[str], text: str = "text") -> DataFrame:
+    """The columns ``names`` again, from ``beside_text`` and the text in column ``text``."""
+    return rows.select(*((F.col(text) if c == "text" else F.col("_doc")[c]).alias(c) for c in names))
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -89,11 +109,12 @@ def map_texts(
     keep: list[str],
     fields: list[tuple[str, str]],
     work: Callable[[list[str | None]], list[list]],
+    with_text: bool = False,
 ) -> DataFrame:
     """Map-only pass: the columns ``keep`` as they are, and ``fields`` (name, SQL type) computed from column text.
 
     ``work`` gets the texts of one step and returns a list of values for each field. No other column of ``docs`` is
-    read, so extra columns can't clash with the new ones.
+    read, so extra columns can't clash with the new ones. ``with_text`` returns column text as well.
     """
     ship_code(docs.sparkSession)
     docs = docs.select(*keep, F.col("text").cast("string").alias("text"))
@@ -108,14 +129,15 @@ def map_texts(
         "array<long>": pa.list_(pa.int64()),
     }
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{c}` {t}" for c, t in fields])
-    names = [*keep, *(c for c, _ in fields)]
+    carried = [*keep, "text"] if with_text else keep
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in carried] + [f"`{c}` {t}" for c, t in fields])
+    names = [*carried, *(c for c, _ in fields)]
     arrow = [types[t] for _, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             values = work(batch.column("text").to_pylist())
-            columns = [batch.column(c) for c in keep]
+            columns = [batch.column(c) for c in carried]
             columns += [pa.array(v, t) for v, t in zip(values, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -7,9 +7,8 @@ import re
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import beside_text, laid_flat, map_texts
 
 
 class Span(NamedTuple):
@@ -160,6 +159,5 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced in column text; null texts stay null, other columns as they are."""
     names = docs.columns
-    rows = docs.select(F.struct(*(c for c in names if c != "text")).alias("_doc"), "text")
-    done = map_texts(rows, ["_doc"], [("_text", "string")], lambda texts: [list(map(redact, texts))])
-    return done.select(*((F.col("_text") if c == "text" else F.col("_doc")[c]).alias(c) for c in names))
+    done = map_texts(beside_text(docs), ["_doc"], [("_text", "string")], lambda texts: [list(map(redact, texts))])
+    return laid_flat(done, names, "_text")

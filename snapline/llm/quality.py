@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, ship_code, written
+from .common import beside_text, laid_flat, map_texts, ship_code, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -62,7 +62,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     return n, word_chars, symbols, dup_lines, repeated, len(lines), upper, raw.count(b"!")
 
 
-def document_metrics(docs: DataFrame, keep: list[str]) -> DataFrame:
+def document_metrics(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataFrame:
     """Columns ``keep`` and the METRICS of every document."""
     empty = [[] for _ in METRICS]
     return map_texts(
@@ -70,6 +70,7 @@ def document_metrics(docs: DataFrame, keep: list[str]) -> DataFrame:
         keep,
         [(m, "long") for m in METRICS],
         lambda texts: [list(v) for v in zip(*map(measure, texts), strict=True)] or empty,
+        with_text,
     )
 
 
@@ -210,6 +211,6 @@ def filtered(
     names = docs.columns
     metrics = written(document_metrics(docs, list(dict.fromkeys(["doc_id", stratum]))), "quality-metrics")
     chosen = cutoffs(metrics, labels, stratum, false_reject, error)
-    whole = document_metrics(docs.select(F.struct(*names).alias("_doc"), "text"), ["_doc"])
+    whole = document_metrics(beside_text(docs), ["_doc"], with_text=True)
     judged = _verdict(whole, chosen, F.col("_doc")[stratum], min_words, max_repeat_percent)
-    return judged.where("kept").select(*(F.col("_doc")[c].alias(c) for c in names))
+    return laid_flat(judged.where("kept"), names)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, parallelism, ship_code, written
+from .common import beside_text, laid_flat, map_texts, parallelism, ship_code, written
 from .components import components
 
 #: Differing bits that link; the grid's geometry holds for this distance.
@@ -218,9 +218,12 @@ def deduplicated(docs: DataFrame, words_each: int = 3, seed: int = 42, cell_limi
     """
     names = docs.columns
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = docs.select(F.struct(*names).alias("_doc"), F.col("text"))
     prints = map_texts(
-        rows, ["_doc"], [("fp", "long")], lambda texts: [[signed(fingerprint(t, words_each, seed)) for t in texts]]
+        beside_text(docs),
+        ["_doc"],
+        [("fp", "long")],
+        lambda texts: [[signed(fingerprint(t, words_each, seed)) for t in texts]],
+        with_text=True,
     )
     prints = written(prints.withColumn("_row", F.monotonically_increasing_id()), "simhash-documents")
     keys = prints.select(F.col("_doc.doc_id").alias("doc_id"), "fp", "_row")
@@ -229,4 +232,4 @@ def deduplicated(docs: DataFrame, words_each: int = 3, seed: int = 42, cell_limi
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("first")
     )
     stays = written(first.select(F.col("first._row").alias("_row")), "simhash-stays")
-    return prints.join(stays, "_row", "left_semi").select(*(F.col("_doc")[c].alias(c) for c in names))
+    return laid_flat(prints.join(stays, "_row", "left_semi"), names)
