@@ -286,75 +286,81 @@ def evidence(table: DataFrame, lead: str, then: str) -> DataFrame:
     return inner.select("doc", "key", "place", "l", "r", "l2", "r2").unionByName(spark.createDataFrame(rows, schema))
 
 
-def decide(place: int, pairs: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int]], bool]:
-    """Confirmed windows of an anchor, as ranges of their starts, and whether some are left that may repeat."""
+def decide(place: int, pairs: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Confirmed windows of an anchor, as ranges of their starts, and the distances before the anchor of those that may
+    repeat yet."""
     anchor, first, last = unpack(place)
     low, high = anchor - last, anchor - first
     ranges = []
     for l, r in pairs:
         near, far = max(low, length - r), min(high, l)
         if near <= far:
-            ranges.append((anchor - far, anchor - near))
-    ranges.sort()
+            ranges.append((near, far))
     near = max(low, length - max(r for _, r in pairs))
     far = min(high, max(l for l, _ in pairs))
-    at = anchor - far
-    for a, b in ranges:
-        if a > at:
-            break
-        at = max(at, b + 1)
-    return ranges, at <= anchor - near
+    rest = [d for d in range(near, far + 1) if not any(a <= d <= b for a, b in ranges)] if near <= far else []
+    return [(anchor - b, anchor - a) for a, b in ranges], rest
 
 
 def _decided(grouped: DataFrame, length: int) -> DataFrame:
-    """Columns doc, key, spans (starts and ends of bytes, in turn) and open (places with windows left)."""
+    """Columns doc, key, spans (starts and ends of bytes, in turn) and open (places and distances left, in turn)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, left = [], []
-            for found in batch.column("found").to_pylist():
+            for full, found in zip(batch.column("full"), batch.column("found"), strict=True):
+                places = np.array(full.values, np.int64)
+                at = places >> 16
+                whole = np.stack([at - (places >> 8 & 255), at - (places & 255) + length], 1)
                 by_place: dict[int, list] = {}
-                for x in found:
-                    by_place.setdefault(x["place"], []).extend([(x["l"], x["r"]), (x["l2"], x["r2"])])
-                ranges, rest = [], []
+                numbers = np.array(found.values, np.int64).reshape(-1, 2)
+                shared = (numbers[:, 1:] >> np.array([48, 32, 16, 0]) & 0xFFFF) - 1
+                for place, (l, r, l2, r2) in zip(numbers[:, 0].tolist(), shared.tolist(), strict=True):
+                    by_place.setdefault(place, []).extend(((l, r), (l2, r2)))
+                ranges, rest = whole.ravel().tolist(), []
                 for place, pairs in by_place.items():
                     sure, more = decide(place, pairs, length)
-                    ranges += sure
-                    if more:
-                        rest.append(place)
-                spans.append([v for a, b in sorted(ranges) for v in (a, b + length)])
+                    for a, b in sure:
+                        ranges += (a, b + length)
+                    for d in more:
+                        rest += (place, d)
+                spans.append(ranges)
                 left.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("key"), pa.array(spans, pa.list_(pa.int64())), pa.array(left, pa.list_(pa.int64()))],
-                ["doc", "key", "spans", "open"],
-            )
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (spans, left)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), *lists], ["doc", "key", "spans", "open"])
 
     return grouped.mapInArrow(run, "doc long, key long, spans array<long>, open array<long>")
 
 
 def _one_by_one(table: DataFrame, left: DataFrame, length: int) -> DataFrame:
-    """Columns doc, key, start: repeated windows of all anchors that share their GRAM bytes with one in ``left``."""
+    """Columns doc, key, start: repeated windows at the distances that are open (doc, key, place, distance).
+
+    Equal windows have the same GRAM bytes at the same distance, so only those distances of an open anchor's equals are
+    looked at.
+    """
     gram = F.xxhash64(F.substring("ahead", 1, GRAM))
-    grams = table.join(left, ["doc", "key", "place"], "left_semi").select(gram.alias("gram")).distinct()
-    grams = written(grams, "suffix-left")
-    members = table.withColumn("gram", gram).join(grams, "gram", "left_semi")
+    grams = table.select("doc", "key", "place", gram.alias("gram")).join(left, ["doc", "key", "place"])
+    grams = grams.groupBy("gram").agg(F.collect_set("distance").alias("distances"))
+    members = table.withColumn("gram", gram).join(written(grams, "suffix-left"), "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("doc", "key", "place", "ahead", "behind")]
-            for at in range(0, batch.num_rows, 500):
+            columns = [batch.column(c).to_pylist() for c in ("doc", "key", "place", "ahead", "behind", "distances")]
+            for at in range(0, batch.num_rows, 1000):
                 out = ([], [], [], [], [])
-                for doc, key, place, ahead, behind in zip(*(c[at : at + 500] for c in columns), strict=True):
+                for doc, key, place, ahead, behind, distances in zip(*(c[at : at + 1000] for c in columns), strict=True):
                     whole = memoryview(behind[::-1] + ahead)
-                    first = unpack(place)[1]
-                    for i in range(len(whole) - length + 1):
-                        h = xxhash.xxh3_128_intdigest(whole[i : i + length])
-                        for c, v in zip(out, (h >> 64, h & (1 << 64) - 1, doc, key, first + i), strict=True):
-                            c.append(v)
+                    anchor = place >> 16
+                    for d in distances:
+                        i = len(behind) - d
+                        if 0 <= i <= len(whole) - length:
+                            h = xxhash.xxh3_128_intdigest(whole[i : i + length])
+                            for c, v in zip(out, (h >> 64, h & (1 << 64) - 1, doc, key, anchor - d), strict=True):
+                                c.append(v)
                 arrays = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[:2]] + [pa.array(c, pa.int64()) for c in out[2:]]
                 yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "doc", "key", "start"])
 
-    windows = members.mapInArrow(run, "h1 long, h2 long, doc long, key long, start long")
+    windows = written(members.mapInArrow(run, "h1 long, h2 long, doc long, key long, start long"), "suffix-windows")
     again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     return windows.join(written(again, "suffix-again"), ["h1", "h2"], "left_semi").select("doc", "key", "start")
 
@@ -364,14 +370,18 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     found = written(candidates(_anchor_rows(docs, length)), "anchors")
     table = written(suffixes(docs, found, length), "suffixes")
     facts = evidence(table, "ahead", "behind").unionByName(evidence(table, "behind", "ahead"))
-    sure = found.where(F.col("use").bitwiseAND(FULL) > 0).select(
-        "doc", "key", "place", *(F.lit(v).cast("int").alias(c) for c, v in (("l", 255), ("r", 1 << 20), ("l2", 255), ("r2", 1 << 20)))
+    # Four counts below 2^16 in one number, a missing one as zero.
+    shared = sum((F.shiftleft((F.col(c) + 1).cast("long"), n) for c, n in (("l", 48), ("r", 32), ("l2", 16))), (F.col("r2") + 1).cast("long"))
+    sure = found.where(F.col("use").bitwiseAND(FULL) > 0)
+    parts = facts.select("doc", "key", F.lit(None).cast("long").alias("full"), F.array("place", shared).alias("found")).unionByName(
+        sure.select("doc", "key", F.col("place").alias("full"), F.lit(None).cast("array<long>").alias("found"))
     )
-    grouped = facts.unionByName(sure).groupBy("doc", "key").agg(
-        F.collect_list(F.struct("place", "l", "r", "l2", "r2")).alias("found")
+    grouped = parts.groupBy("doc", "key").agg(
+        F.collect_list("full").alias("full"), F.flatten(F.collect_list("found")).alias("found")
     )
     decided = written(_decided(grouped, length), "suffix-spans")
-    left = decided.where(F.size("open") > 0).select("doc", "key", F.explode("open").alias("place"))
+    step = F.transform(F.sequence(F.lit(1), F.size("open"), F.lit(2)), lambda i: F.struct(F.element_at("open", i).alias("place"), F.element_at("open", i + 1).alias("distance")))
+    left = decided.where(F.size("open") > 0).select("doc", "key", F.explode(step).alias("x")).select("doc", "key", "x.place", "x.distance")
     spans = decided.select("doc", "key", "spans").where(F.size("spans") > 0)
     more = _one_by_one(table, written(left, "suffix-open"), length).groupBy("doc", "key").agg(
         F.flatten(F.collect_list(F.array(F.col("start"), F.col("start") + length))).alias("spans")
@@ -389,8 +399,11 @@ def merged(spans: list[int]) -> list[list[int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document: ``keep``, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary).
+def without_repeats(
+    docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False
+) -> DataFrame:
+    """Per document: ``keep``, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, or with ``as_text``
+    a string without the rest of a character that a cut went through).
 
     Bytes are those of UTF-8; null and empty texts have none. Repeated rows repeat each other's strings. ``length`` is
     33 to 280. A removed run may begin or end within a character.
@@ -421,12 +434,15 @@ def without_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] =
                 kept = b"".join([*parts, raw[at:]])
                 for c, v in zip(out, (len(raw), len(raw) - len(kept), len(runs), kept), strict=True):
                     c.append(v)
-            arrays = [batch.column("_keep"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())]
+            left = [k.decode("utf-8", "ignore") for k in out[3]] if as_text else out[3]
+            arrays = [batch.column("_keep"), *(pa.array(c, pa.int64()) for c in out[:3])]
+            arrays.append(pa.array(left, pa.string() if as_text else pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, ["_keep", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = packed_texts(rows, ("_keep",)).join(spans, ["doc", "key"], "left").select("_keep", "packed", "spans")
     kind = dict(joined.dtypes)["_keep"]
-    done = joined.mapInArrow(run, f"_keep {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    last = "string" if as_text else "binary"
+    done = joined.mapInArrow(run, f"_keep {kind}, n_bytes long, n_removed long, n_spans long, kept {last}")
     return done.select(*(F.col("_keep")[c].alias(c) for c in keep), "n_bytes", "n_removed", "n_spans", "kept")
 
 
@@ -435,18 +451,7 @@ def cleaned(docs: DataFrame, length: int = 200) -> DataFrame:
     went through; null stays null, other columns stay as they are."""
     names = docs.columns
     rows = docs.select("doc_id", "text", F.struct(*(c for c in names if c != "text"), F.col("text").isNull().alias("_null")).alias("_doc"))
-    done = without_repeats(rows, length, ("_doc",))
-    return _decoded(done.select("_doc", "kept")).select(
-        *((F.when(~F.col("_doc._null"), F.col("_text")) if c == "text" else F.col("_doc")[c]).alias(c) for c in names)
+    done = without_repeats(rows, length, ("_doc",), as_text=True)
+    return done.select(
+        *((F.when(~F.col("_doc._null"), F.col("kept")) if c == "text" else F.col("_doc")[c]).alias(c) for c in names)
     )
-
-
-def _decoded(done: DataFrame) -> DataFrame:
-    kind = dict(done.dtypes)["_doc"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string())], ["_doc", "_text"])
-
-    return done.mapInArrow(run, f"_doc {kind}, _text string")
