@@ -171,6 +171,37 @@ def test_rules_reject_bad_and_spare_good(spark):
     assert quality.judge(docs, labels.limit(0)).where("kept").count() == 1700 + 3
 
 
+def test_few_labels_are_enough_with_the_production_parameters(spark):
+    draw = random.Random(9)
+    prose = lambda: " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(60))
+    junk = lambda: prose().replace(" ", " # ", 30)
+    rows = [(i, prose(), lang, 1) for lang, at, n in (("en", 0, 700), ("de", 1000, 500), ("es", 2000, 40)) for i in range(at, at + n)]
+    rows += [(5000 + i, junk(), lang, 0) for i, lang in enumerate(["en", "de", "es"] * 20)]
+    rows += [(6000 + i, junk(), lang, None) for i, lang in enumerate(["en", "de", "es"] * 20)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[3] is not None], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
+    assert [kept[i] for i, *_ in rows if i >= 5000] == [False] * 120
+    for lang, n in (("en", 700), ("de", 500), ("es", 40)):
+        assert sum(not kept[i] for i, _, of, good in rows if of == lang and good) <= 0.012 * n
+
+
+def test_all_rules_have_one_budget():
+    assert quality.needed(0.012, 0.05) == 249 and quality.needed(0.012, 0.0125) == 363
+    assert quality.families({"en": 2000, "de": 400, "es": 300}, 0.012, 0.05) == (["en", "de"], True, 0.05 / 3)
+    assert quality.families({"en": 2000, "de": 400}, 0.012, 0.05) == (["en", "de"], False, 0.025)
+    assert quality.families({"en": 150, "de": 110}, 0.012, 0.05) == ([], True, 0.05)
+    assert quality.families({"en": 100}, 0.012, 0.05)[:2] == ([], False)
+    # Four rejections of each of two steps pass alone but not together.
+    assert quality.binomial_cdf(4, 1000, 0.012) <= 0.01 < quality.binomial_cdf(8, 1000, 0.012)
+    assert quality.accepted([4, 996], [50, 0], 0.012, 0.01) == 1
+    assert quality.accepted([4, 4, 0, 992], [50, 50, 50, 0], 0.012, 0.01) == 1
+    n = len(quality.GRID)
+    free, dear = [0.0] * n, [float(i) for i in range(n)]
+    steps = quality.path({"a": [9.0] * n, "b": [5.0] * 3 + [80.0] * (n - 3)}, {"a": free, "b": [0.0, *dear[:-1]]})
+    assert steps[0] == ("a", 0) and ("b", 3) in steps and all(i <= 3 for _, i in steps)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
