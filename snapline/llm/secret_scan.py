@@ -100,13 +100,13 @@ def scan(
     repository: str = "source",
     owner: str = "source",
     max_owners: int = 1,
-    max_copies: int = 8,
 ) -> DataFrame:
     """Per document: ``keep``, counts of the base kinds, base_sha256, spans, n_live and n_example.
 
-    ``spans`` lists all spans of the base and those added spans whose value at most ``max_owners`` owners hold, in at
-    most ``max_copies`` places; by start, then kind. Of all listed spans, n_live are as rare as that and n_example are
-    not. Null and empty texts have none; a null repository or owner is no owner; repeated rows count as copies.
+    ``spans`` lists all spans of the base and those added spans whose value at most ``max_owners`` owners hold; by
+    start, then kind. In how many places they hold it doesn't matter. Of all listed spans, n_live are as rare as that
+    and n_example are not. Null and empty texts have none. A null repository or owner is no owner; a value without any
+    owner is judged by its repositories.
     """
     keep_list = list(keep)
     per_doc = candidates(docs, keep_list, repository, owner)
@@ -115,7 +115,7 @@ def scan(
         "_row", "_repo", "_owner", F.explode("_spans").alias("span")
     ).withColumn("hash", F.sha2(F.col("span.value"), 256))
     verdict = ownership(found.select("hash", "_repo", "_owner")).select(
-        "hash", F.expr(f"n_owners <= {max_owners} and n_copies <= {max_copies}").alias("live")
+        "hash", F.expr(f"if(n_owners > 0, n_owners, n_repositories) <= {max_owners}").alias("live")
     )
     bases = len(BASE_KINDS)
     judged = (

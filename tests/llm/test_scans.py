@@ -109,6 +109,20 @@ def test_owners_tell_live_secrets_from_examples(spark):
     assert found[10].n_live == 1
 
 
+def test_copies_of_one_owner_stay_live(spark):
+    mine, spread = "glpat-" + "Qw3" * 8, "sk_live_" + "Er5" * 8
+    rows = [(i, f"{mine} {mine}", "repo1") for i in range(30)] + [(100 + i, spread, f"repo{i % 2}") for i in range(4)]
+    rows += [(200, f"password = {mine}", "repo1")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    assert all(found[i].spans == "prefixed:0:30,prefixed:31:61" and found[i].n_live == 2 for i in range(30))
+    assert all(found[100 + i].spans == "" for i in range(4))
+    assert (found[200].n_live, found[200].n_example) == (2, 0)
+    nobody = docs.selectExpr("doc_id", "text", "source", "cast(null as string) nobody")
+    found = {r.doc_id: r for r in secret_scan.scan(nobody, owner="nobody").collect()}
+    assert found[0].n_live == 2 and found[100].spans == ""
+
+
 def test_no_python_in_the_secret_scan(spark):
     docs = spark.createDataFrame([(1, "x", "s")], "doc_id long, text string, source string")
     plan = secret_scan.scan(docs)._jdf.queryExecution().toString()
