@@ -314,9 +314,9 @@ def cutoffs(
 
 
 def _place(score: Column) -> Column:
-    """A score lies above the cutoffs from its place in GRID on."""
-    place = F.floor((F.lit(GRID[0]) - score) * 40 + F.lit(1 - 1e-9)).cast("int")
-    return F.least(F.lit(len(GRID)), F.greatest(F.lit(0), place))
+    """The first place in GRID whose cutoff the score exceeds, by the comparison that the verdict makes."""
+    kept = F.filter(F.array(*map(F.lit, GRID)), lambda cutoff: F.coalesce(score, F.lit(0.0)) <= cutoff)
+    return F.size(kept)
 
 
 def _base(min_words: int, max_repeat_percent: int) -> str:

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from snapline.llm import pii, quality, secret_scan
 
@@ -216,6 +217,24 @@ def test_all_rules_have_one_budget():
     assert steps[0] == ("a", 0) and ("b", 3) in steps and all(i <= 3 for _, i in steps)
 
 
+def test_places_agree_with_the_verdict_on_the_grid(spark):
+    scores = [0.0, 0.01, 0.2, 0.5, 0.75, 0.8, 0.81, 1.0, 1.5, *(i / 40 for i in range(41))]
+    rows = spark.createDataFrame([(x,) for x in scores], "score double").select("score", quality._place(F.col("score")).alias("place"))
+    for r in rows.collect():
+        assert [r.score > cutoff for cutoff in quality.GRID] == [i >= r.place for i in range(len(quality.GRID))], r
+
+
+def test_bad_documents_on_a_grid_point_are_rejected(spark):
+    draw = random.Random(10)
+    words = lambda n: ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(n)]
+    rows = [(i, " ".join(words(60)), "en", 1) for i in range(500)]
+    rows += [(1000 + i, " ".join(w + "#" * (k % 2) for k, w in enumerate(words(60))), "en", 0) for i in range(50)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
+    assert all(kept[i] for i in range(500)) and not any(kept[1000 + i] for i in range(50))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
