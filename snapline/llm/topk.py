@@ -27,7 +27,8 @@ BLOCK, TOGETHER, QUERIES = 4096, 16, 512
 def whole_numbers(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     """Columns _row, _key, dim and x: floor(scale * component) as little-endian 32-bit whole numbers.
 
-    Vectors that are null or hold a null or non-finite component, or a number beyond 32 bits, are left out.
+    Vectors that are null or hold a null or non-finite component are left out. A number beyond 32 bits is an error, so
+    that no vector goes missing without a sign.
     """
     ship_code(vectors.sparkSession)
 
@@ -39,10 +40,13 @@ def whole_numbers(vectors: DataFrame, key: str, vector: str, scale: int) -> Data
                 if v is None or any(c is None for c in v):
                     continue
                 x = np.floor(np.array(v, np.float64) * scale)
-                if np.isfinite(x).all() and (np.abs(x) < 1 << 31).all():
-                    keys.append(k)
-                    dims.append(len(v))
-                    xs.append(x.astype("<i4").tobytes())
+                if not np.isfinite(np.array(v, np.float64)).all():
+                    continue
+                if not (np.abs(x) < 1 << 31).all():
+                    raise OverflowError(f"the vector of key {k} holds a component of {1 << 31} / {scale} or more in size")
+                keys.append(k)
+                dims.append(len(v))
+                xs.append(x.astype("<i4").tobytes())
             rows = pa.array(range(at, at + len(keys)), pa.int64())
             at += len(keys)
             yield pa.RecordBatch.from_arrays(

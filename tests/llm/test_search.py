@@ -187,6 +187,16 @@ def test_few_vectors(spark):
     assert [tuple(r) for r in topk.search(spark.createDataFrame([(0, [1.0]), (1, [-1.0])], kind)).collect()] == [(0, 1, 1, -65536)]
 
 
+def test_vectors_beyond_32_bits_are_an_error(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, float("nan")]), (2, [float("inf"), 1.0]), (3, None), (4, [8e6, -8e6]), (5, [2.0, None])]
+    schema = "vec_id long, embedding array<double>"
+    found = topk.whole_numbers(spark.createDataFrame(rows, schema), "vec_id", "embedding", 256).collect()
+    assert sorted(r._key for r in found) == [0, 4]
+    for x in (8388608.0, -9e6, 1e300, 1e307):
+        with pytest.raises(Exception, match="the vector of key 7 holds"):
+            topk.search(spark.createDataFrame([*rows, (7, [x, 0.0])], schema))
+
+
 def test_exact_products_of_large_numbers():
     a = np.array([[2**31 - 1, -(2**31)]])
     assert topk.product(a, a).tolist() == [[(2**31 - 1) ** 2 + 2**62]]
