@@ -25,11 +25,10 @@ UNKNOWN = "und"
 
 
 class Settings(NamedTuple):
-    """``per_language`` and ``sample`` bound the labelled rows that are trained on, ``languages`` the classes."""
+    """``per_language`` and ``sample`` bound the labelled rows that are trained on; all languages are learnt."""
 
     per_language: int = 1000
     sample: int = 4000
-    languages: int = 64
     alpha: float = 0.5
     beta: float = 1.0
     l1: float = 0.02
@@ -83,8 +82,11 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, s: Settings) -> tuple[np.ndarray, float]:
-    """Weights by class and feature, and the temperature, from rows of features, weights and class in a fixed order."""
-    cut = round(len(rows) * (1 - s.calibrate)) if len(rows) >= 20 else len(rows)
+    """Weights by class and feature, and the temperature, from rows of features, weights and class in a fixed order.
+
+    The first rows, as many as there are classes, are always trained on.
+    """
+    cut = max(classes, round(len(rows) * (1 - s.calibrate))) if len(rows) >= 20 else len(rows)
     z, n = np.zeros((classes, FEATURES)), np.zeros((classes, FEATURES))
 
     def weights(at):
@@ -136,11 +138,25 @@ class Model(NamedTuple):
         return self.languages[best], min(1.0, float(e[best] / e.sum()))
 
 
+def sample(usable: DataFrame, languages: int, settings: Settings) -> DataFrame:
+    """The rows that are trained on, with their draw: none twice, and at least one of each of the ``languages``."""
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    keys = usable.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("draw")).distinct()
+    drawn = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= settings.per_language)
+    # Each language's first row comes before any second one, so the sample holds every language.
+    most = max(settings.sample, languages)
+    drawn = written(drawn.orderBy("n", "draw", "lang").limit(most).select("doc_id", "draw", "lang"), "language-sample")
+    by = ["doc_id", "draw", "lang"]
+    rows = usable.withColumn("draw", F.xxhash64("doc_id", "text")).join(F.broadcast(drawn), by, "left_semi")
+    return rows.dropDuplicates(by)
+
+
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """A model from the columns doc_id, text and lang; rows without text or language are passed over.
 
-    Only the weights, of bounded size, come to the driver: the sample is trained on in one task, whose rows
-    ``settings`` bounds. The sample is drawn by a hash of doc_id, so that it doesn't depend on the partitions.
+    Only the weights come to the driver, FEATURES of each language at most: the sample is trained on in one task, whose
+    rows ``settings`` bounds, but for one row of each language, which is always drawn. The sample is drawn by a hash of
+    doc_id and text, so that it doesn't depend on the partitions; rows that repeat are drawn once.
     """
     spark = labelled.sparkSession
     ship_code(spark)
@@ -153,15 +169,10 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     idf[:] = math.log(1 + total)
     for feature, n in counts.items():
         idf[feature] = math.log((1 + total) / (1 + n)) + 1e-3
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
-    languages = sorted(r.lang for r in sizes)
+    languages = sorted(r.lang for r in usable.select("lang").distinct().collect())
     if not languages:
         return Model([], idf, np.zeros((0, FEATURES)), 1.0)
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    keys = usable.where(F.col("lang").isin(languages)).select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("draw"))
-    drawn = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= settings.per_language)
-    drawn = written(drawn.orderBy("n", "draw", "lang").limit(settings.sample).select("doc_id", "draw"), "language-sample")
-    rows = usable.withColumn("draw", F.xxhash64("doc_id", "text")).join(F.broadcast(drawn), ["doc_id", "draw"], "left_semi")
+    rows = sample(usable, len(languages), settings)
     shared = spark.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +181,9 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
             for draw, text, lang in zip(*(batch.column(c).to_pylist() for c in ("draw", "text", "lang")), strict=True):
                 held.append((draw, lang, *weighted(text, shared.value)))
         held.sort(key=lambda x: (x[0], x[1]))
+        # A row of each language comes first, so that no language is left to calibration alone.
+        met: set[str] = set()
+        held.sort(key=lambda x: x[1] in met or met.add(x[1]) is not None)
         number = {c: i for i, c in enumerate(languages)}
         full, temperature = train([(at, v, number[lang]) for _, lang, at, v in held], len(languages), settings)
         at = np.flatnonzero(full.any(0))

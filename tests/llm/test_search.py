@@ -220,6 +220,20 @@ def test_languages_are_told_apart(spark):
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_all_languages_are_learnt_from_rows_without_repeats(spark):
+    letters = [chr(0x4E00 + i) for i in range(1400)]
+    rows = [(20 * c + i, " ".join(letters[20 * c : 20 * c + 20]) + f" {i}", f"l{c:02}") for c in range(70) for i in range(3)]
+    docs = spark.createDataFrame(rows + [(9000, rows[0][1], "l00")] * 300, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.languages) == 70
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert all(found[i] == lang for i, _, lang in rows)
+
+    same = [("1", "some words", "en")] * 500 + [("1", "some words", "fr"), ("2", "other words", "en")]
+    sample = language_id.sample(spark.createDataFrame(same, "doc_id string, text string, lang string"), 2, language_id.Settings())
+    assert sorted((r.doc_id, r.lang) for r in sample.collect()) == [("1", "en"), ("1", "fr"), ("2", "en")]
+
+
 def test_penalties_leave_few_weights():
     draw = np.random.default_rng(4)
     rows = [(np.array([i % 2, 2 + int(draw.integers(500))]), np.array([0.8, 0.6]), i % 2) for i in range(400)]
