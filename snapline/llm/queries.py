@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, pii, quality, secret_scan, simhash, substrings, token_count, topk
+from . import (
+    bpe,
+    centroids,
+    language_id,
+    packing,
+    pii,
+    quality,
+    secret_scan,
+    simhash,
+    spelling,
+    substrings,
+    token_count,
+    token_files,
+    topk,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +79,47 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_read(spark, sf_dir, "documents"), flaw_every=199))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.read(token_files.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def _centroids_sql(clusters: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """The rounds one after the other, all distances of a round in one join."""
+    whole = "sum(CAST((x.v - c.v) * (x.v - c.v) AS BIGINT))"
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {dims}),
+long AS MATERIALIZED (SELECT vec_id, unnest(range({dims})) AS d, unnest(v) AS v FROM kept),
+c0 AS MATERIALIZED (SELECT id, unnest(range({dims})) AS d, unnest(v) AS v FROM (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS id, v FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) <= {clusters}))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT vec_id, arg_min(id, (distance, id)) AS id, min(distance) AS distance FROM (
+  SELECT vec_id, id, CAST({whole} AS BIGINT) AS distance FROM long x JOIN c{r} c USING (d) GROUP BY vec_id, id) GROUP BY vec_id)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT id, d, coalesce((s - ((s % n) + n) % n) // n, v) AS v FROM c{r} LEFT JOIN (
+  SELECT id, d, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM long JOIN a{r} USING (vec_id) GROUP BY id, d) USING (id, d))"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(id AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY id) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN (SELECT id, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY id)
+  USING (id)"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -76,5 +131,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling": op11_spelling,
+    "op12_token_files": op12_token_files,
+    "op13_centroids": op13_centroids,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_centroids": _centroids_sql()}
