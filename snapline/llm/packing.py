@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
 from .common import ship_code, steps, written
+from .id_batches import batch_encoder
 
 #: Windows that a task may write in its number space, as bits of the window's number.
 TASK_BITS = 32
@@ -118,14 +118,13 @@ def pack(
     ship_code(spark)
     docs = docs.select(F.col(key).alias("_key"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["_key"].dataType.simpleString()
-    tail = b"" if end is None else end.to_bytes(4, "little")
     numbers = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
     numbers += [("window", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << TASK_BITS
         windows = Windows(size, open_windows, first)
-        one = encoder(path, pattern)
+        one = batch_encoder(path, pattern)
         held: dict[int, list[tuple]] = {}
 
         def out(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
@@ -143,20 +142,20 @@ def pack(
             key_type = batch.column("_key").type
             keys = batch.column("_key").to_pylist()
             rows = []
-            for k, ids in zip(keys, one.encode_special(batch.column("text").to_pylist()), strict=True):
-                ids += tail
-                n = len(ids) // 4
+            ids, places = one.encode(batch.column("text").to_pylist(), end)
+            view = memoryview(ids).cast("B")
+            for k, first_id, last in zip(keys, places, places[1:]):
+                n = last - first_id
                 for start in range(0, n, size):
-                    part = ids[4 * start : 4 * (start + size)]
-                    length = len(part) // 4
+                    length = min(size, n - start)
+                    part = view[4 * (first_id + start) : 4 * (first_id + start + length)]
                     crc = zlib.crc32(part)
+                    kept = bytes(part) if with_ids else None
                     if length == size:
-                        rows.append((k, start, length, crc, n, windows.whole(), 0, False, part))
+                        rows.append((k, start, length, crc, n, windows.whole(), 0, False, kept))
                     else:
                         window, offset = windows.place(length)
-                        held.setdefault(window, []).append(
-                            (k, start, length, crc, n, window, offset, False, part if with_ids else None)
-                        )
+                        held.setdefault(window, []).append((k, start, length, crc, n, window, offset, False, kept))
             still = {w for _, w in windows.rooms}
             for w in [w for w in held if w not in still]:
                 rows += held.pop(w)
