@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,14 +37,37 @@ def scratch_folder(spark: SparkSession) -> str:
     return _own_folders[context.applicationId]
 
 
+#: Where the tables written within ``recorded`` are noted.
+_notes: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Notes the folders of all tables that are written to the scratch folder meanwhile."""
+    _notes.append([])
+    try:
+        yield _notes[-1]
+    finally:
+        _notes.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables that nothing reads any more, and empties the list."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again.
+    """The rows written to the shared folder and read again; the job runs at once.
 
     Later steps read files instead of repeating the work, and a lost executor costs no more than its own tasks. The
-    tables stay until the owner of the folder clears it, as with checkpoints.
+    tables stay until the owner of the folder clears it, as with checkpoints, or ``drop_tables`` is told of them.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    for note in _notes:
+        note.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

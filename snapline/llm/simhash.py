@@ -228,8 +228,9 @@ def deduplicated(docs: DataFrame, words_each: int = 3, seed: int = 42, cell_limi
     prints = written(prints.withColumn("_row", F.monotonically_increasing_id()), "simhash-documents")
     keys = prints.select(F.col("_doc.doc_id").alias("doc_id"), "fp", "_row")
     found = groups(keys.select("doc_id", "fp"), cell_limit)
-    first = keys.join(found, "fp").groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("first")
-    )
-    stays = written(first.select(F.col("first._row").alias("_row")), "simhash-stays")
-    return laid_flat(prints.join(stays, "_row", "left_semi"), names)
+    member = written(keys.join(found, "fp").select("root", "doc_id", "_row"), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    first = member.groupBy("root").agg(F.min(order)["_row"].alias("_first"))
+    # Fewer rows go than stay, so these meet the texts.
+    goes = written(member.join(first, "root").where("_row != _first").select("_row"), "simhash-goes")
+    return laid_flat(prints.join(goes, "_row", "left_anti"), names)
