@@ -7,12 +7,14 @@ documents, n_chars counted anew where the text changed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapline.llm import packing, pii, quality, simhash, substrings
-from snapline.llm.common import written
+from snapline.llm.common import drop_tables, recorded, written
 
 SHINGLE_WORDS, REPEAT_BYTES, SEQUENCE = 3, 200, 2048
 
@@ -42,12 +44,33 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, path, public_tokenizers.PATTERN, SEQUENCE)
 
 
+#: Scratch tables of the stage that was called last.
+_scratch: list[str] = []
+
+
+def _tidied(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first deletes the scratch tables of the one before: a stage's result is written before the next
+    stage is called."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _scratch)
+        with recorded() as paths:
+            out = stage(spark, docs, sf_dir)
+        _scratch.extend(paths)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality", good_quality),
-    ("near_duplicates", one_of_near_duplicates),
-    ("repeated_passages", without_repeated_passages),
-    ("personal_data", without_personal_data),
-    ("packing", packed),
+    (name, _tidied(stage))
+    for name, stage in (
+        ("quality", good_quality),
+        ("near_duplicates", one_of_near_duplicates),
+        ("repeated_passages", without_repeated_passages),
+        ("personal_data", without_personal_data),
+        ("packing", packed),
+    )
 ]
 
 #: No stage beyond the first is expressible in SQL; tests hold each against a brute-force version.
@@ -55,8 +78,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of ``documents``.
+
+    Null and empty texts fail the quality rules, so an empty table, or one of such texts, gives no pieces. Of repeated
+    rows one stays. A text of any length is cleaned and packed whole. Columns beside doc_id and text are carried as they
+    are to the last stage (n_chars is counted anew), the stratum ``lang`` of the quality rules among them. All stages but
+    the last run when this function is called, each over what the one before wrote.
+    """
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    _scratch.clear()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = stage(spark, docs, sf_dir)
+        with recorded() as paths:
+            docs = written(made, f"pipeline-{name}")
+        drop_tables(spark, old)
+        old = paths
     return STAGES[-1][1](spark, docs, sf_dir)
