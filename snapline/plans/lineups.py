@@ -1,28 +1,30 @@
-"""Best lineups under a salary cap as set-based joins over a pruned candidate pool.
+"""Best lineups under a salary cap as joins that a bound keeps small.
 
-Exactness. Say y dominates x when y may take x's place, costs no more and comes earlier in
-(score descending, salary, id). A lineup that holds x while ``best`` dominators of x stay unused is
-beaten by the ``best`` lineups that swap one of them in, so it is never needed. Hence:
+Give salary a price: a player is worth gain - price * salary. Of a lineup's shape (how many of each position), let the
+bound be price * cap plus the best worths that each position could bring. Then
 
-* a player is needed only with fewer than ``slots + best - 1`` dominators;
-* while a position's players are added in (score descending, salary, id) order, all dominators of the
-  next player come before it, so it may be added only if fewer than ``best`` of them were left out;
-* of the finished groups of one position and size only those with fewer than ``best`` dominating groups
-  are needed, and likewise for every partial lineup.
+    points = bound - losses - price * (salary left)
 
-Candidates per slate and position are bounded by (distinct salaries) x (slots + best - 1), whatever the
-number of players, and only these are ever combined.
+where the loss of the players taken at a position is what their worths lack of the best ones there; nothing on the right
+is negative but the bound. So once ``best`` lineups are known, the last of them with ``reach`` points, every lineup that
+could still be among the best has losses of at most bound - reach in all, and all of those are joined together: players
+to groups of a position, groups to lineups, each only while the losses so far leave room. The price that makes the bound
+smallest is found per slate by three rounds over lists of prices; ``reach`` by lineups of the first few players of each
+position. Brute force checks it, ties included.
+
+Groups meet in bands of their loss: a band of one side meets only those of the other whose least losses together leave
+room, so one slate's joins spread over as many keys as there are bands.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.dominance import prune_dominated
-from ..session import cut_lineage, evenly
+from ..session import cut_lineage
 
 # Contest rules.
 CAP = 50000
@@ -30,7 +32,14 @@ MAIN_SLOTS = {"QB": 1, "RB": 2, "WR": 3, "TE": 1, "RB/WR/TE": 1, "DST": 1}
 SHOWDOWN_SLOTS = {"CPTN": 1, "FLEX": 5}
 SHOWDOWN_TEAM_LIMIT = 5
 
-SHARES = 16
+#: Shares that groups of one position grow in, and bands of loss that groups meet in.
+SHARES, BANDS = 16, 16
+#: Players beyond the needed ones that the first lineups are made of, and how often more and cheaper ones are tried.
+BEAM, TRIES = 1, 7
+#: Points count in millionths.
+MILLION = 1_000_000
+#: Room for the rounding of worths, in units of ``_gain``.
+ROUNDING = 16.0
 
 
 def read_slots(slots: dict[str, int]) -> tuple[dict[str, int], tuple[str, ...], int]:
@@ -45,79 +54,173 @@ def read_slots(slots: dict[str, int]) -> tuple[dict[str, int], tuple[str, ...],
     return fixed, eligible, extra
 
 
-def _order(cost: str = "salary", gain: str = "gain", tie: str = "player") -> Column:
-    return F.struct((-F.col(gain)).alias("loss"), F.col(cost).alias("cost"), F.col(tie).alias("tie"))
+def lineup_shapes(slots: dict[str, int]) -> list[dict[str, int]]:
+    """Every way to fill the slots: players per position."""
+    fixed, eligible, extra = read_slots(slots)
+    spread = [x for x in product(range(extra + 1), repeat=len(eligible)) if sum(x) == extra]
+    return [{pos: n + dict(zip(eligible, more, strict=True)).get(pos, 0) for pos, n in fixed.items()} for more in spread]
+
+
+def best_per_salary(pool: DataFrame, keys, depth: Column | int) -> DataFrame:
+    """The ``depth`` best players of each salary; each task cuts its own before the shuffle.
+
+    Whoever takes a player with ``depth`` better ones at the same salary could take one of those instead.
+    """
+    order = Window.partitionBy(*keys, "cost").orderBy(F.col("gain").desc(), F.col("player").asc())
+    return pool.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= depth).drop("_n")
+
+
+def _scale(cap: int) -> int:
+    return 1 << cap.bit_length()
+
 
+def _gain(cap: int) -> Column:
+    """A player's points in millionths, and of equals the cheaper first: a whole number, so sums don't depend on order.
+
+    Summed over a lineup under the cap, it ranks by points and then by falling cost.
+    """
+    return F.round(F.round("fpts_proj", 6) * MILLION).cast("long") * _scale(cap) - F.col("salary")
 
-def _beats(a: Column, b: Column) -> Column:
-    """Whether order a dominates order b; false where either is missing."""
-    return F.coalesce((a < b) & (a["cost"] <= b["cost"]), F.lit(False))
 
+def _points(cap: int) -> Column:
+    return ((F.col("total") + F.col("cost")) / _scale(cap) / MILLION).alias("lineup_points")
 
-def _pick(left_out: Column, lead: bool) -> Column:
-    fields = [F.col("_order").alias("order"), left_out.alias("left_out")]
-    return F.struct(*fields, F.col("lead")) if lead else F.struct(*fields)
 
+def _greatest(columns: list[Column]) -> Column:
+    return F.greatest(*columns) if len(columns) > 1 else columns[0]
 
-def _start_groups(pool: DataFrame, keys, slack: int) -> DataFrame:
-    """Groups of one player: ``picks`` holds each player's order and how many of its dominators are left out.
 
-    Groups stay in the share of their first player, so one position with most of the groups is grown in
-    several tasks.
+def _cheapest_bound(pool: DataFrame, slate, cap: int, bounds) -> DataFrame:
+    """Slate columns, price, u and the other columns of ``bounds(prices)`` at the price with the smallest bound u.
+
+    u is convex in the price, so the smallest of a coarse list of prices is next to the best one; two finer lists
+    follow. Any price gives a valid bound.
+    """
+    widths = pool.groupBy(*slate).agg(((F.max("gain") - F.min("gain")) / F.lit(float(cap))).alias("price"))
+    fine = 4.0 ** (1 / 8)
+    found = widths
+    for steps in (
+        [0.0] + [4.0**j for j in range(-3, 9)], [fine**j for j in range(-8, 9)], [fine ** (j / 5) for j in range(-5, 6)]
+    ):
+        prices = found.select(*slate, F.explode(F.array_distinct(F.array(*[F.col("price") * x for x in steps]))).alias("price"))
+        least = bounds(prices).where(F.col("u").isNotNull()).groupBy(*slate).agg(F.min(F.struct("u", "price")).alias("_least"))
+        found = cut_lineage(least.select(*slate, F.col("_least.price").alias("price")))
+    return cut_lineage(bounds(found))
+
+
+def _with_ranks(rows: DataFrame, keys, most: int) -> DataFrame:
+    """Adds rank within ``keys`` by worth, and ``tails``: the worths of the next 0, 1, ... players summed, null if fewer."""
+    order = Window.partitionBy(*keys).orderBy(F.col("worth").desc(), F.col("cost").asc(), F.col("player").asc())
+    tails = [F.lit(0.0)]
+    for m in range(1, most):
+        frame = order.rowsBetween(1, m)
+        tails.append(F.when(F.count("worth").over(frame) == m, F.sum("worth").over(frame)))
+    return rows.withColumn("rank", F.row_number().over(order)).withColumn("tails", F.array(*tails))
+
+
+def _groups(rows: DataFrame, keys, carry, most: int, cap: int) -> DataFrame:
+    """Groups of ``n`` players of each key whose loss leaves room: keys, carry, room, loss, cost, total, members.
+
+    ``rows`` has keys, carry (the same in all rows of a key), n, top (the best n worths summed), room, rank, worth,
+    tails, cost, gain, player. Players are added by falling worth. What is still to come is worth at most the players
+    that follow next, so a group is dropped as soon as its loss is certain to exceed the room.
     """
-    lead = "lead" in pool.columns
-    first = pool.where(F.col("dominators") < slack).withColumn("_order", _order())
+    keys, carry = list(keys), list(carry)
+
+    def fits(worth: Column, tails: Column, left: Column) -> Column:
+        return F.col("top") - worth - F.element_at(tails, left + 1) <= F.col("room") + ROUNDING
+
     share = F.pmod(F.xxhash64("player"), F.lit(SHARES)).cast("int").alias("share")
-    return first.select(
-        *keys, share, F.lit(1).alias("n"), F.col("salary").alias("cost"), F.col("gain").alias("total"),
-        F.array(_pick(F.col("dominators"), lead)).alias("picks"), F.array("player").alias("members"),
+    # What a player and the n - 1 best leave to be desired.
+    others = F.sum(F.when(F.col("rank") < F.col("n"), F.col("worth")).otherwise(0.0)).over(Window.partitionBy(*keys))
+    rows = rows.withColumn("_behind", F.col("top") - others - F.col("worth")).where(
+        (F.col("cost") <= cap) & (F.col("_behind") <= F.col("room") + ROUNDING)
+    )
+    rows = cut_lineage(
+        rows.select(*keys, *carry, "n", "top", "room", "rank", "worth", "tails", "cost", "gain", "player")
+    )
+    grown = rows.where(fits(F.col("worth"), F.col("tails"), F.col("n") - 1)).select(
+        *keys, *carry, share, "n", "top", "room", "rank", "worth", "cost", F.col("gain").alias("total"),
+        F.array("player").alias("members"),
+    )
+    pool = rows.where(F.col("n") > 1).select(
+        *keys, F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), F.col("rank").alias("_rank"),
+        F.col("worth").alias("_worth"), F.col("tails").alias("_tails"), F.col("cost").alias("_cost"),
+        F.col("gain").alias("_gain"), F.col("player").alias("_player"),
     )
+    done = []
+    for k in range(1, most + 1):
+        done.append(grown.where(F.col("n") == k))
+        if k == most:
+            break
+        worth = F.col("worth") + F.col("_worth")
+        grown = grown.where(F.col("n") > k).join(pool, [*keys, "share"]).where(
+            (F.col("_rank") > F.col("rank")) & (F.col("cost") + F.col("_cost") <= cap)
+            & fits(worth, F.col("_tails"), F.col("n") - (k + 1))
+        ).select(
+            *keys, *carry, "share", "n", "top", "room", F.col("_rank").alias("rank"), worth.alias("worth"),
+            (F.col("cost") + F.col("_cost")).alias("cost"), (F.col("total") + F.col("_gain")).alias("total"),
+            F.array_append("members", F.col("_player")).alias("members"),
+        )
+        # Each size is made once, though the next ones and the result both read it.
+        grown = cut_lineage(grown)
+    whole = reduce(DataFrame.unionByName, done)
+    loss = F.greatest(F.lit(0.0), F.col("top") - F.col("worth"))
+    return whole.select(*keys, *carry, "room", loss.alias("loss"), "cost", "total", "members")
 
 
-def _shared(pool: DataFrame) -> DataFrame:
-    """The pool once per share."""
-    return pool.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+def _band(loss: str, room: str) -> Column:
+    part = F.floor(F.col(loss) / F.col(room) * BANDS)
+    return F.when(F.col(room) > 0, F.least(F.lit(BANDS - 1), part)).otherwise(F.lit(0)).cast("int")
 
 
-def _grow_groups(groups: DataFrame, pool: DataFrame, keys, slack: int, limit: int) -> DataFrame:
-    """Add one later player to each group, if fewer than ``slack`` of its dominators were left out."""
-    lead = "lead" in pool.columns
-    keys = [*keys, "share"]
-    nxt = pool.select(
-        *[F.col(k).alias(f"_{k}") for k in keys], "player", "salary", "gain", "dominators", _order().alias("_order"),
-        *(["lead"] if lead else []),
-    )
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
-    used = F.size(F.filter("picks", lambda p: p["order"]["cost"] <= F.col("salary")))
-    last = F.element_at("picks", -1)["order"]
-    fits = (
-        (F.col("_order") > last) & (F.col("dominators") < used + slack)
-        & (F.col("cost") + F.col("salary") <= limit)
+def _meet(left: DataFrame, right: DataFrame, keys, cap: int) -> DataFrame:
+    """Pairs of partial lineups of the same keys whose losses together leave room; columns of ``left``."""
+    keys = list(keys)
+    others = right.select(
+        *keys, F.explode(F.sequence(F.lit(0), F.least(F.lit(BANDS - 1), BANDS - _band("loss", "room")))).alias("_band"),
+        F.col("loss").alias("_loss"), F.col("cost").alias("_cost"), F.col("total").alias("_total"),
+        F.col("members").alias("_members"),
     )
-    return groups.join(nxt, same & fits).select(
-        *keys, (F.col("n") + 1).alias("n"), (F.col("cost") + F.col("salary")).alias("cost"),
-        (F.col("total") + F.col("gain")).alias("total"),
-        F.array_append("picks", _pick(F.col("dominators") - used, lead)).alias("picks"),
-        F.array_append("members", F.col("player")).alias("members"),
+    met = left.withColumn("_band", _band("loss", "room")).join(others, [*keys, "_band"]).where(
+        (F.col("loss") + F.col("_loss") <= F.col("room") + ROUNDING) & (F.col("cost") + F.col("_cost") <= cap)
     )
+    sums = {c: F.col(c) + F.col(f"_{c}") for c in ("loss", "cost", "total")}
+    joined = met.withColumns(sums | {"members": F.concat("members", "_members")})
+    return joined.select(*left.columns)
+
 
+def _number(whole: DataFrame, slate, best: int) -> DataFrame:
+    """Number the best lineups of each slate: by points, cost, sorted members."""
+    order = [F.col("total").desc(), F.array_sort("members").asc()]
+    number = F.row_number().over(Window.partitionBy(*slate).orderBy(*order))
+    return whole.withColumn("lineup", number).where(F.col("lineup") <= best)
 
-def _needed(groups: DataFrame, keys, best: int) -> DataFrame:
-    tagged = groups.withColumn("_id", F.array_join("members", "|"))
-    return prune_dominated(tagged, keys, "cost", "total", "_id", best, "_beaten").drop("_beaten", "_id")
 
+def _with_reach(known: DataFrame, slate, best: int, first_lineups) -> DataFrame:
+    """``known`` (one row per slate, with price) and reach: points of the ``best``-th of the first lineups.
+
+    ``first_lineups(known, width)`` makes the lineups of the first players of each position; where they are too few
+    under the cap, more players and a higher price, so cheaper players, are tried. Where none of that helps, reach is
+    null and the search goes through all lineups of the slate.
+    """
+    missing, parts = known, []
+    for i in range(TRIES):
+        tried = missing.withColumn("price", F.col("price") * float(1 << i))
+        last = _number(first_lineups(tried, BEAM + i), slate, best).where(F.col("lineup") == best)
+        reached = cut_lineage(last.select(*slate, F.col("total").alias("reach")))
+        parts.append(reached)
+        missing = missing.join(reached, list(slate), "left_anti")
+        if missing.isEmpty():
+            break
+        missing = cut_lineage(missing)
+    return cut_lineage(known.join(reduce(DataFrame.unionByName, parts), list(slate), "left"))
 
-def candidate_pool(pool: DataFrame, slate, fixed, eligible, extra: int, best: int, cap: int) -> DataFrame:
-    """Players still needed for the ``best`` lineups of each slate, with their number of dominators."""
-    depth = {pos: n + (extra if pos in eligible else 0) + best - 1 for pos, n in fixed.items()}
-    priced = pool.where(
-        F.col("position").isin(list(fixed)) & (F.col("salary") <= cap) & F.col("fpts_proj").isNotNull()
-    ).withColumn("gain", F.round("fpts_proj", 6))
-    kept = prune_dominated(priced, [*slate, "position"], "salary", "gain", "player", max(depth.values()))
-    allowed = F.lit(False)
-    for pos, d in depth.items():
-        allowed = allowed | ((F.col("position") == pos) & (F.col("dominators") < d))
-    return cut_lineage(kept.where(allowed))
+
+def _room(bound: str | Column) -> Column:
+    """What losses may come to; without end where no reach is known."""
+    bound = F.col(bound) if isinstance(bound, str) else bound
+    return F.when(F.col("reach").isNull(), F.lit(float("inf"))).otherwise(bound - F.col("reach"))
 
 
 def best_lineups(
@@ -126,68 +229,92 @@ def best_lineups(
     """The ``best`` highest-scoring lineups of every slate, one row per member.
 
     ``pool`` needs the slate columns, player (unique in a slate), position, salary, fpts_proj; its other
-    columns are carried to the members. Players without a score cannot be chosen.
+    columns are carried to the members. Players without a score cannot be chosen. Points count to six digits; ties go
+    to the cheaper lineup, then to the first by its sorted members. Jobs run while the result is built.
     """
     slate = list(slate)
-    fixed, eligible, extra = read_slots(slots)
-    candidates = candidate_pool(pool, slate, fixed, eligible, extra, best, cap)
-    keys = [*slate, "position"]
-
-    most = {pos: n + (extra if pos in eligible else 0) for pos, n in fixed.items()}
-    groups = [evenly(_start_groups(candidates, keys, best), *keys, "share")]
-    pool_shares = evenly(_shared(candidates), *keys, "share")
-    for size in range(2, max(most.values()) + 1):
-        deeper = [pos for pos, n in most.items() if n >= size]
-        groups.append(
-            _grow_groups(groups[-1].where(F.col("position").isin(deeper)), pool_shares, keys, best, cap)
-        )
-    usable = F.lit(False)
-    for pos, n in fixed.items():
-        usable = usable | ((F.col("position") == pos) & F.col("n").between(n, most[pos]))
-    spare = F.lit(0)
-    for pos, n in fixed.items():
-        spare = F.when(F.col("position") == pos, F.col("n") - n).otherwise(spare)
-    sized = reduce(DataFrame.unionByName, groups).where(usable).withColumn("extra", spare)
-    sized = sized.select(*keys, "extra", "cost", "total", "members")
-    parts = cut_lineage(_needed(sized, [*keys, "extra"], best))
-
-    order = sorted(fixed, key=lambda pos: (pos not in eligible, pos))
-    state = None
-    for step, pos in enumerate(order):
-        part = parts.where(F.col("position") == pos).drop("position")
-        if state is None:
-            state = part
-            continue
-        right = part.select(
-            *[F.col(k).alias(f"_{k}") for k in slate], F.col("extra").alias("_extra"), F.col("cost").alias("_cost"),
-            F.col("total").alias("_total"), F.col("members").alias("_members"),
-        )
-        same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in slate])
-        fits = (F.col("extra") + F.col("_extra") <= extra) & (F.col("cost") + F.col("_cost") <= cap)
-        state = state.join(right, same & fits).select(
-            *slate, (F.col("extra") + F.col("_extra")).alias("extra"),
-            (F.col("cost") + F.col("_cost")).alias("cost"), (F.col("total") + F.col("_total")).alias("total"),
-            F.concat("members", "_members").alias("members"),
-        )
-        if step < len(order) - 1:
-            state = _needed(state, [*slate, "extra"], best)
-    whole = state.where(F.col("extra") == extra)
-    return _with_members(_ranked(whole, slate, best), candidates.drop("gain", "dominators"), slate)
-
-
-def _ranked(whole: DataFrame, slate, best: int) -> DataFrame:
-    """Number the best lineups of each slate."""
-    order = [F.col("total").desc(), F.col("cost").asc(), F.array_join("members", "|").asc()]
-    number = F.row_number().over(Window.partitionBy(*slate).orderBy(*order))
-    return whole.withColumn("lineup", number).where(F.col("lineup") <= best).select(
-        *slate, "lineup", F.col("total").alias("lineup_points"), F.col("cost").cast("bigint").alias("lineup_salary"), "members"
+    shapes = lineup_shapes(slots)
+    most = {pos: max(shape[pos] for shape in shapes) for pos in shapes[0]}
+    parts = sorted({(pos, n) for shape in shapes for pos, n in shape.items() if n})
+    depth = F.lit(0)
+    for pos, n in most.items():
+        depth = F.when(F.col("section") == pos, n + best - 1).otherwise(depth)
+    priced = pool.where(
+        F.col("position").isin(list(most)) & (F.col("salary") <= cap) & F.col("fpts_proj").isNotNull()
+    ).select(
+        *slate, F.col("position").alias("section"), "player", F.col("salary").alias("cost"),
+        _gain(cap).alias("gain"),
     )
+    kept = cut_lineage(best_per_salary(priced, [*slate, "section"], depth))
+
+    def bounds(prices: DataFrame) -> DataFrame:
+        by = Window.partitionBy(*slate, "price", "section").orderBy(F.col("worth").desc())
+        worth = (F.col("gain") - F.col("price") * F.col("cost")).alias("worth")
+        tops = kept.join(prices, slate).select(*slate, "price", "section", worth)
+        tops = tops.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(most.values()))
+        sums = []
+        for i, (pos, n) in enumerate(parts):
+            taken = F.when((F.col("section") == pos) & (F.col("rank") <= n), F.col("worth"))
+            sums.append(F.when(F.count(taken) == n, F.sum(taken)).alias(f"top_{i}"))
+        summed = tops.groupBy(*slate, "price").agg(*sums)
+        base = F.col("price") * F.lit(float(cap))
+        us = [
+            reduce(lambda a, b: a + b, [F.col(f"top_{parts.index(p)}") for p in shape.items() if p[1]], base)
+            for shape in shapes
+        ]
+        return summed.select("*", *[u.alias(f"u_{j}") for j, u in enumerate(us)], _greatest(us).alias("u"))
 
+    names = [f"{pos}{n}" for pos, n in parts]
+    tops = [f"top_{i}" for i in range(len(parts))]
 
-def _with_members(lineups: DataFrame, pool: DataFrame, slate) -> DataFrame:
-    """One row per member, with the pool's columns."""
-    members = lineups.select(*slate, "lineup", "lineup_points", "lineup_salary", F.explode("members").alias("player"))
-    return cut_lineage(members.join(pool, [*slate, "player"]))
+    def search(known: DataFrame, width: int | None = None) -> DataFrame:
+        """All lineups that leave room, of the first players of each position only if ``width`` is given."""
+        rooms = [_room(f"u_{j}") for j in range(len(shapes))]
+        by_part = [_greatest([rooms[j] for j, s in enumerate(shapes) if s[pos] == n]) for pos, n in parts]
+        facts = known.select(
+            *slate, "price", F.array(*rooms).alias("rooms"), F.array(*by_part).alias("_rooms"), F.array(*tops).alias("_tops")
+        )
+        rows = kept.join(facts, slate).withColumn("worth", F.col("gain") - F.col("price") * F.col("cost"))
+        rows = _with_ranks(rows, [*slate, "section"], max(most.values()))
+        if width is not None:
+            first = reduce(
+                lambda a, p: F.when(F.col("section") == p, most[p] + width).otherwise(a), most, F.lit(0)
+            )
+            rows = rows.where(F.col("rank") <= first)
+        kinds = F.array(*[
+            F.struct(F.lit(name).alias("part"), F.lit(pos).alias("of"), F.lit(n).alias("n"), F.lit(i + 1).alias("at"))
+            for i, (name, (pos, n)) in enumerate(zip(names, parts, strict=True))
+        ])
+        rows = rows.withColumn("_kind", F.explode(F.filter(kinds, lambda x: x["of"] == F.col("section"))))
+        rows = rows.select(
+            *slate, F.col("_kind.part").alias("part"), "price", "rooms", F.col("_kind.n").alias("n"),
+            F.element_at("_tops", F.col("_kind.at")).alias("top"), F.element_at("_rooms", F.col("_kind.at")).alias("room"),
+            "rank", "worth", "tails", "cost", "gain", "player",
+        )
+        groups = cut_lineage(_groups(rows, [*slate, "part"], ["price", "rooms"], max(most.values()), cap))
+        state = None
+        for pos in sorted(most, key=lambda p: (most[p], p)):
+            of = {}
+            for j, shape in enumerate(shapes):
+                if shape[pos]:
+                    of.setdefault(f"{pos}{shape[pos]}", []).append(j)
+            shape_of = F.lit(None).cast("array<int>")
+            for name, js in of.items():
+                shape_of = F.when(F.col("part") == name, F.array(*map(F.lit, js))).otherwise(shape_of)
+            side = groups.where(F.col("part").isin(list(of))).withColumn("shape", F.explode(shape_of))
+            side = side.withColumn("room", F.element_at("rooms", F.col("shape") + 1)).drop("part", "rooms")
+            state = side if state is None else _meet(state, side, [*slate, "shape"], cap)
+        unused = F.col("price") * (F.lit(float(cap)) - F.col("cost"))
+        return state.where(F.col("loss") + unused <= F.col("room") + ROUNDING)
+
+    known = _cheapest_bound(kept, slate, cap, bounds)
+    blank = F.lit(None).cast("double")
+    known = _with_reach(known, slate, best, lambda some, width: search(some.withColumn("reach", blank), width))
+    chosen = _number(search(known), slate, best).select(
+        *slate, "lineup", _points(cap), F.col("cost").cast("bigint").alias("lineup_salary"),
+        F.explode("members").alias("player"),
+    )
+    return cut_lineage(chosen.join(pool, [*slate, "player"]))
 
 
 def salary_profile(lineups: DataFrame, slate=("slate",), tops=(2, 3, 4, 5), mid=(4, 6)) -> DataFrame:
@@ -218,86 +345,109 @@ def best_showdown_lineups(
     """The ``best`` captain-and-flex lineups of every slate, one row per member.
 
     ``pool`` needs the slate columns, player (unique row id), player_id (shared by a captain row and its
-    flex row), team, position (CPTN or FLEX), salary, fpts_proj. A player holds one slot only. Players are
-    combined team by team: a captain side (captain and the flex players of the team) meets a flex-only
-    side of the other team, so no player can be on both sides.
+    flex row), team, position (CPTN or FLEX), salary, fpts_proj. A player holds one slot only and at most ``team_limit``
+    players are of one team. The flex players of each captain are a search of their own, with the captain's worth in
+    its bound; captains whose bound does not reach are left out first. Ties as in ``best_lineups``.
     """
     slate = list(slate)
-    keys = [*slate, "team"]
-    priced = pool.where((F.col("salary") <= cap) & F.col("fpts_proj").isNotNull()).withColumn(
-        "gain", F.round("fpts_proj", 6)
-    )
-    kept = prune_dominated(priced, [*keys, "position"], "salary", "gain", "player", flex + best)
-    # Each row also learns its player's order in both roles. A row cut from one role is dominated by too
-    # many to dominate any row that is left there, so its order may be missing.
-    both = Window.partitionBy(*keys, "player_id")
-    role = _order(tie="player_id")
-    kept = kept.withColumn("lead", F.max(F.when(F.col("position") == "CPTN", role)).over(both)).withColumn(
-        "own", F.max(F.when(F.col("position") == "FLEX", role)).over(both)
-    )
-    kept = cut_lineage(kept)
-    # Inside a side a player is known by player_id, the same in both roles.
-    known = kept.select(
-        *keys, "position", F.col("player_id").alias("player"), "salary", "gain", "dominators", "lead", "own"
-    )
-    flexes = known.where(F.col("position") == "FLEX").drop("position", "own")
-    captains = known.where(F.col("position") == "CPTN").select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.col("player").alias("captain"), F.col("salary").alias("_salary"),
-        F.col("gain").alias("_gain"), F.col("dominators").alias("_dominators"), F.col("lead").alias("_lead"), "own",
-    )
-    # One dominator may be missing from the flex group because it is the captain: slack best + 1.
-    groups = [evenly(_start_groups(flexes, keys, best + 1), *keys, "share")]
-    pool_shares = evenly(_shared(flexes), *keys, "share")
-    for _ in range(2, flex + 1):
-        groups.append(_grow_groups(groups[-1], pool_shares, keys, best + 1, cap))
-    sized = reduce(DataFrame.unionByName, groups).select(*keys, "n", "cost", "total", "picks", "members")
-
-    closed = F.forall("picks", lambda p: p["left_out"] < best)
-    alone = sized.where((F.col("n") <= team_limit) & closed).drop("picks")
-    alone = _needed(alone, [*keys, "n"], best)
-
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
-    bare = captains.where(F.col("_dominators") < best).select(
-        *[F.col(f"_{k}").alias(k) for k in keys], F.lit(0).alias("n"), F.col("_salary").alias("cost"),
-        F.col("_gain").alias("total"), "captain", F.array().cast("array<string>").alias("members"),
-    )
-    # With the captain counted as used, fewer than ``best`` dominators of any member may be left out.
-    flex_closed = F.forall(
-        "picks", lambda p: p["left_out"] - _beats(F.col("own"), p["order"]).cast("int") < best
-    )
-    ahead = F.size(F.filter("picks", lambda p: _beats(p["lead"], F.col("_lead"))))
-    led = sized.where(F.col("n") < min(flex, team_limit)).join(
-        captains,
-        same & ~F.array_contains("members", F.col("captain")) & (F.col("cost") + F.col("_salary") <= cap)
-        & (F.col("_dominators") < ahead + best) & flex_closed,
+    priced = pool.where(
+        F.col("position").isin("CPTN", "FLEX") & (F.col("salary") <= cap) & F.col("fpts_proj").isNotNull()
     ).select(
-        *keys, "n", (F.col("cost") + F.col("_salary")).alias("cost"), (F.col("total") + F.col("_gain")).alias("total"),
-        "captain", "members",
+        *slate, "position", "team", F.col("player_id").alias("player"), F.col("salary").alias("cost"),
+        _gain(cap).alias("gain"),
     )
-    led = led.unionByName(bare).withColumn("_id", F.concat_ws("|", "captain", F.array_join("members", "|")))
-    led = prune_dominated(led, [*keys, "n"], "cost", "total", "_id", best, "_beaten").drop("_beaten", "_id")
-
-    others = alone.select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.col("n").alias("_n"), F.col("cost").alias("_cost"),
-        F.col("total").alias("_total"), F.col("members").alias("_members"),
-    )
-    facing = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in slate])
-    whole = led.join(
-        others,
-        facing & (F.col("team") != F.col("_team")) & (F.col("n") + F.col("_n") == flex)
-        & (F.col("cost") + F.col("_cost") <= cap),
-    ).select(
-        *slate, (F.col("cost") + F.col("_cost")).alias("cost"), (F.col("total") + F.col("_total")).alias("total"),
-        F.concat(
-            F.transform(F.array("captain"), lambda m: F.concat(F.lit("CPTN:"), m)),
-            F.transform(F.concat("members", "_members"), lambda m: F.concat(F.lit("FLEX:"), m)),
-        ).alias("members"),
+    # Up to ``flex`` better ones of the team at the same salary may be in the lineup already, in the other role too.
+    kept = cut_lineage(best_per_salary(priced, [*slate, "team", "position"], flex + best))
+    leads = kept.where(F.col("position") == "CPTN").select(
+        *slate, F.col("player").alias("captain"), F.col("team").alias("lead_team"), F.col("cost").alias("lead_cost"),
+        F.col("gain").alias("lead_gain"),
     )
-    chosen = _ranked(whole, slate, best)
-    members = chosen.select(
-        *slate, "lineup", "lineup_points", "lineup_salary", F.explode("members").alias("_member")
+    flexes = kept.where(F.col("position") == "FLEX").drop("position")
+    worth = F.col("gain") - F.col("price") * F.col("cost")
+
+    def captains(prices: DataFrame) -> DataFrame:
+        """Each captain's bound u, top: the best worths of ``flex`` other players, and base: of one less.
+
+        Where these would all be of the captain's team and one team may not fill a lineup, the last of them gives way to
+        the best player of another team.
+        """
+        by = Window.partitionBy(*slate, "price").orderBy(F.col("worth").desc())
+        by_team = Window.partitionBy(*slate, "price", "team").orderBy(F.col("worth").desc())
+        first = flexes.join(prices, slate).select(*slate, "price", "player", "team", worth.alias("worth"))
+        first = first.withColumn("rank", F.row_number().over(by)).withColumn("_of_team", F.row_number().over(by_team))
+        entry = F.struct("worth", "player", "team")
+        listed = first.where((F.col("rank") <= flex + 1) | (F.col("_of_team") == 1)).groupBy(*slate, "price").agg(
+            F.sort_array(F.collect_list(F.when(F.col("rank") <= flex + 1, entry)), False).alias("_first"),
+            F.collect_list(F.when(F.col("_of_team") == 1, entry)).alias("_leaders"),
+        )
+        own = F.slice(F.filter("_first", lambda x: x["player"] != F.col("captain")), 1, flex)
+        top = F.aggregate("_own", F.lit(0.0), lambda a, x: a + x["worth"])
+        if team_limit <= flex:
+            others = F.transform(F.filter("_leaders", lambda x: x["team"] != F.col("lead_team")), lambda x: x["worth"])
+            alone = F.forall("_own", lambda x: x["team"] == F.col("lead_team"))
+            top = F.when(alone, top - F.element_at("_own", -1)["worth"] + F.array_max(others)).otherwise(top)
+        sides = leads.join(listed, slate).withColumn("_own", own)
+        base = F.aggregate(F.slice("_own", 1, flex - 1), F.lit(0.0), lambda a, x: a + x["worth"])
+        sides = sides.select("*", F.when(F.size("_own") == flex, top).alias("top"), base.alias("base"))
+        sides = sides.drop("_own", "_leaders")
+        lead = F.col("lead_gain") - F.col("price") * F.col("lead_cost")
+        return sides.withColumn("u", F.col("price") * F.lit(float(cap)) + lead + F.col("top")).drop("_first")
+
+    def bounds(prices: DataFrame) -> DataFrame:
+        """The best captain's and the best flex worths, the same player in both roles or not."""
+        by = Window.partitionBy(*slate, "price", "position").orderBy(F.col("worth").desc())
+        first = kept.join(prices, slate).select(*slate, "price", "position", worth.alias("worth"))
+        first = first.withColumn("rank", F.row_number().over(by))
+        first = first.where(F.col("rank") <= F.when(F.col("position") == "FLEX", flex).otherwise(1))
+        return first.groupBy(*slate, "price").agg(F.sum("worth").alias("_sum"), F.count("worth").alias("_n")).select(
+            *slate, "price", F.when(F.col("_n") == flex + 1, F.col("price") * F.lit(float(cap)) + F.col("_sum")).alias("u")
+        )
+
+    def search(known: DataFrame, width: int | None = None) -> DataFrame:
+        prices = known.select(*slate, "price", "reach")
+        led = captains(prices.drop("reach")).join(prices.drop("price"), slate).where(F.col("top").isNotNull())
+        led = led.withColumn("room", _room("u")).where(F.col("room") >= -ROUNDING)
+        if width is not None:
+            by = Window.partitionBy(*slate).orderBy(F.col("u").desc(), F.col("captain").asc())
+            led = led.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= 2 + 2 * width).drop("_n")
+        led = cut_lineage(led)
+        by = Window.partitionBy(*slate).orderBy(F.col("worth").desc(), F.col("cost").asc(), F.col("player").asc())
+        ranked = flexes.join(prices.select(*slate, "price"), slate).withColumn("worth", worth).drop("price")
+        ranked = ranked.withColumn("_rank", F.row_number().over(by))
+        if width is not None:
+            of_team = F.row_number().over(Window.partitionBy(*slate, "team").orderBy(F.col("worth").desc(), F.col("player").asc()))
+            ranked = ranked.withColumn("_of_team", of_team)
+            ranked = ranked.where((F.col("_rank") <= flex + 2 + width) | (F.col("_of_team") <= width + 1)).drop("_of_team")
+        # With this player and the best others, there must be room left.
+        rows = led.join(ranked.drop("_rank"), slate).where(
+            (F.col("player") != F.col("captain"))
+            & (F.col("top") - F.col("base") - F.col("worth") <= F.col("room") + ROUNDING)
+        )
+        keys = [*slate, "captain"]
+        rows = _with_ranks(rows.withColumn("n", F.lit(flex)).drop("base", "u"), keys, flex)
+        rows = rows.withColumn("player", F.concat_ws("\x1f", "player", "team"))
+        groups = _groups(rows, keys, ["price", "lead_team", "lead_cost", "lead_gain"], flex, cap)
+        teams = F.transform("members", lambda m: F.element_at(F.split(m, "\x1f"), 2))
+        cost = F.col("cost") + F.col("lead_cost")
+        unused = F.col("price") * (F.lit(float(cap)) - cost)
+        whole = groups.withColumn("_teams", F.array_append(teams, F.col("lead_team"))).where(
+            (cost <= cap) & (F.col("loss") + unused <= F.col("room") + ROUNDING)
+            & F.forall(F.array_distinct("_teams"), lambda t: F.size(F.filter("_teams", lambda x: x == t)) <= team_limit)
+        )
+        names = F.transform("members", lambda m: F.concat(F.lit("FLEX:"), F.element_at(F.split(m, "\x1f"), 1)))
+        return whole.select(
+            *slate, cost.alias("cost"), (F.col("total") + F.col("lead_gain")).alias("total"),
+            F.array_prepend(names, F.concat(F.lit("CPTN:"), F.col("captain"))).alias("members"),
+        )
+
+    known = _cheapest_bound(kept, slate, cap, bounds)
+    blank = F.lit(None).cast("double")
+    known = _with_reach(known, slate, best, lambda some, width: search(some.withColumn("reach", blank), width))
+    chosen = _number(search(known), slate, best).select(
+        *slate, "lineup", _points(cap), F.col("cost").cast("bigint").alias("lineup_salary"),
+        F.explode("members").alias("_member"),
     ).select(
         *slate, "lineup", "lineup_points", "lineup_salary",
         F.substring("_member", 1, 4).alias("position"), F.expr("substring(_member, 6)").alias("player_id"),
     )
-    return cut_lineage(members.join(kept.drop("gain", "dominators", "lead", "own"), [*slate, "player_id", "position"]))
+    return cut_lineage(chosen.join(pool, [*slate, "player_id", "position"]))

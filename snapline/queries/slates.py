@@ -16,9 +16,8 @@ SEED = 20240101
 LINEUP_SEED = 20240202
 SLATES = 15
 SHOWDOWN_SLATES = 25
-# The lineup search over showdown slates runs on fewer of them; README, "Not built".
-SEARCHED_SLATES = 2
-SHOWDOWN_LINEUPS = 2
+SHOWDOWN_LINEUPS = 5
+FEW, MANY = 3, 150
 KEPT = 15
 GRID_KEPT = 150
 
@@ -134,8 +133,180 @@ def _best_sql(name: str, source: str) -> str:
     return ", ".join(parts)
 
 
+# Bounds in SQL: a price for salary per slate, the smallest of a fixed list of multiples, and from it how far players
+# and groups may fall behind the best ones.
+_STEPS = "(SELECT unnest([0.0] || [pow(2.0, x / 8.0) FOR x IN range(-48, 49)]) AS step)"
+_SPARE = 16.0
+
+
+def _exact(score: str) -> str:
+    """Millionths of a point, and among equals the cheaper first."""
+    return f"CAST(round(round({score}, 6) * 1000000) AS BIGINT) * 65536 - salary AS gain"
+
+
+_POINTS = "(total + cost) // 65536 / 1000000.0 AS lineup_points"
+
+
+def _groups_sql(name: str, pool: str, key: str, part: str, n: int, room: str | None) -> str:
+    """Groups of ``n`` rows of ``pool`` by rising rank; with ``room`` only while their loss leaves as much."""
+    rows = [f"x{i}" for i in range(n)]
+    tables = [f"{pool} x0"]
+    for i, x in enumerate(rows[1:], 1):
+        same = " AND ".join(f"{x}.{k} = x0.{k}" for k in key.split(", "))
+        lost = " + ".join(f"({y}.s{j + 1} - {y}.worth)" for j, y in enumerate(rows[: i + 1]))
+        bound = f" AND {lost} <= x0.{room} + {_SPARE}" if room else ""
+        tables.append(f"JOIN {pool} {x} ON {same} AND {x}.rank > {rows[i - 1]}.rank AND {part.format(x)}{bound}")
+    lost = " + ".join(f"(x0.s{j + 1} - {y}.worth)" for j, y in enumerate(rows))
+    first = f" AND {lost} <= x0.{room} + {_SPARE}" if room else ""
+    return (
+        f"{name} AS MATERIALIZED (SELECT {', '.join('x0.' + k for k in key.split(', '))}, {lost} AS loss, "
+        f"{' + '.join(x + '.salary' for x in rows)} AS cost, {' + '.join(x + '.gain' for x in rows)} AS total, "
+        f"[{', '.join(x + '.name' for x in rows)}] AS members, [{', '.join(x + '.team' for x in rows)}] AS teams "
+        f"FROM {' '.join(tables)} WHERE {part.format('x0')}{first})"
+    )
+
+
+def _some_best_sql(name: str, source: str, best: int) -> str:
+    """The ``best`` lineups of every slate of ``source``: combinations within the bound, from a few lineups' reach."""
+    most = {"QB": 1, "RB": 3, "WR": 4, "TE": 2, "DST": 1}
+    shapes = {"a": (3, 3, 1), "b": (2, 4, 1), "c": (2, 3, 2)}
+    need = " ".join(f"WHEN '{p}' THEN {n}" for p, n in most.items())
+
+    def total(shape: tuple) -> str:
+        sizes = zip(("RB", "WR", "TE", "QB", "DST"), (*shape, 1, 1), strict=True)
+        return " + ".join(f"sum(CASE WHEN pos = '{p}' AND rank <= {n} THEN worth END)" for p, n in sizes)
+
+    bounds = ", ".join(f"price * 50000 + {total(shape)} AS u_{j}" for j, shape in shapes.items())
+    each = ", ".join(f"max(CASE WHEN rank = {j} THEN worth END) OVER (PARTITION BY slate, pos) AS s{j}" for j in (1, 2, 3, 4))
+    parts = [
+        f"{name}_pool AS MATERIALIZED (SELECT slate, name, team, pos, salary, {_exact('score')} FROM {source} "
+        f"WHERE score IS NOT NULL AND pos IN ('QB', 'RB', 'WR', 'TE', 'DST') QUALIFY row_number() OVER (PARTITION BY slate, pos, salary "
+        f"ORDER BY score DESC, name) < CASE pos {need} END + {best})",
+        f"{name}_prices AS (SELECT DISTINCT slate, price FROM (SELECT slate, step * (max(gain) - min(gain)) / 50000 AS price "
+        f"FROM {name}_pool, {_STEPS} GROUP BY slate, step))",
+        f"{name}_tops AS (SELECT slate, price, pos, gain - price * salary AS worth, row_number() OVER (PARTITION BY slate, price, pos "
+        f"ORDER BY gain - price * salary DESC) AS rank FROM {name}_pool JOIN {name}_prices USING (slate) QUALIFY rank <= 4)",
+        f"{name}_bounds AS (SELECT slate, price, {bounds} FROM {name}_tops GROUP BY slate, price)",
+        f"{name}_known AS MATERIALIZED (SELECT * FROM {name}_bounds QUALIFY row_number() OVER (PARTITION BY slate "
+        f"ORDER BY greatest(u_a, u_b, u_c), price) = 1)",
+        f"{name}_all AS MATERIALIZED (SELECT *, gain - price * salary AS worth, row_number() OVER (PARTITION BY slate, pos "
+        f"ORDER BY gain - price * salary DESC, salary, name) AS rank FROM {name}_pool JOIN {name}_known USING (slate))",
+        f"{name}_ranked AS MATERIALIZED (SELECT *, {each} FROM {name}_all)",
+        f"{name}_first AS (SELECT * FROM {name}_ranked WHERE rank <= CASE pos {need} END + 2)",
+    ]
+
+    def lineups(out: str, pool: str, room: str | None) -> None:
+        for pos, n in (("QB", 1), ("DST", 1), ("TE", 1), ("TE", 2), ("RB", 2), ("RB", 3), ("WR", 3), ("WR", 4)):
+            parts.append(_groups_sql(f"{out}_{pos}{n}", pool, "slate", f"{{}}.pos = '{pos}'", n, room))
+        ends = []
+        for j, (rb, wr, te) in shapes.items():
+            left = f"{out}_QB1"
+            for i, right in enumerate((f"DST1", f"TE{te}", f"RB{rb}", f"WR{wr}")):
+                to = f"{out}_{j}{i}"
+                bound = f" AND a.loss + b.loss <= k.u_{j} - r.reach + {_SPARE}" if room else ""
+                reach = f"JOIN {name}_reach r ON r.slate = a.slate " if room else ""
+                parts.append(
+                    f"{to} AS MATERIALIZED (SELECT a.slate, a.loss + b.loss AS loss, a.cost + b.cost AS cost, a.total + b.total AS total, "
+                    f"a.members || b.members AS members FROM {left} a JOIN {name}_known k ON k.slate = a.slate {reach}"
+                    f"JOIN {out}_{right} b ON b.slate = a.slate AND a.cost + b.cost <= 50000{bound})"
+                )
+                left = to
+            ends.append(f"SELECT * FROM {left}")
+        parts.append(f"{out}_whole AS MATERIALIZED ({' UNION ALL '.join(ends)})")
+
+    lineups(f"{name}_f", f"{name}_first", None)
+    parts.append(
+        f"{name}_reach AS MATERIALIZED (SELECT slate, total AS reach FROM {name}_f_whole "
+        f"QUALIFY row_number() OVER (PARTITION BY slate ORDER BY total DESC) = {best})"
+    )
+    parts.append(
+        f"{name}_near AS MATERIALIZED (SELECT *, greatest(u_a, u_b, u_c) - reach AS room FROM {name}_ranked JOIN {name}_reach USING (slate) "
+        f"WHERE worth >= CASE pos WHEN 'RB' THEN s3 WHEN 'WR' THEN s4 WHEN 'TE' THEN s2 ELSE s1 END - (greatest(u_a, u_b, u_c) - reach) - {_SPARE})"
+    )
+    lineups(f"{name}_g", f"{name}_near", "room")
+    parts.append(
+        f"{name}_best AS MATERIALIZED (SELECT slate, row_number() OVER (PARTITION BY slate ORDER BY total DESC, "
+        f"list_sort(members)) AS lineup, {_POINTS}, cost AS lineup_salary, members FROM {name}_g_whole QUALIFY lineup <= {best})"
+    )
+    parts.append(
+        f"{name}_members AS MATERIALIZED (SELECT b.slate, lineup, lineup_points, lineup_salary, s.name AS player, s.team, "
+        f"s.pos AS position, s.salary, s.score AS fpts_proj FROM (SELECT slate, lineup, lineup_points, lineup_salary, "
+        f"unnest(members) AS name FROM {name}_best) b JOIN {source} s ON b.slate = s.slate AND b.name = s.name)"
+    )
+    return ", ".join(parts)
+
+
+def _showdown_best_sql(best: int) -> str:
+    """The ``best`` showdown lineups of every slate and matchup of ``sd``, the flex players of each captain by themselves."""
+    k = "slate, matchup"
+    order = "gain - price * salary DESC, salary, name"
+    bound = """price * 50000 + c.gain - price * c.salary + CASE WHEN f.rank <= 5 THEN s6 - f.worth ELSE s5 END"""
+    parts = [
+        f"c_pool AS MATERIALIZED (SELECT slate, matchup, player_id AS captain, team AS c_team, salary, {_exact('fpts_proj')} "
+        "FROM sd WHERE position = 'CPTN' AND fpts_proj IS NOT NULL AND salary <= 50000)",
+        f"f_pool AS MATERIALIZED (SELECT slate, matchup, player_id AS name, team, salary, {_exact('fpts_proj')} "
+        "FROM sd WHERE position = 'FLEX' AND fpts_proj IS NOT NULL AND salary <= 50000)",
+        f"sd_prices AS (SELECT DISTINCT {k}, price FROM (SELECT {k}, step * (max(gain) - min(gain)) / 50000 AS price "
+        f"FROM f_pool, {_STEPS} GROUP BY {k}, step))",
+        f"f_tops AS MATERIALIZED (SELECT {k}, price, name, gain - price * salary AS worth, row_number() OVER (PARTITION BY {k}, price "
+        f"ORDER BY {order}) AS rank FROM f_pool JOIN sd_prices USING ({k}) QUALIFY rank <= 6)",
+        f"f_sums AS (SELECT {k}, price, sum(CASE WHEN rank <= 5 THEN worth END) AS s5, sum(worth) AS s6, count(*) AS n FROM f_tops GROUP BY {k}, price)",
+        f"c_bounds AS MATERIALIZED (SELECT c.*, price, {bound} AS u FROM c_pool c JOIN f_sums USING ({k}) LEFT JOIN f_tops f "
+        f"USING ({k}, price) WHERE f.name = c.captain AND n = 6 UNION ALL SELECT c.*, price, price * 50000 + c.gain - price * c.salary + s5 "
+        f"FROM c_pool c JOIN f_sums s USING ({k}) WHERE n >= 5 AND NOT EXISTS (SELECT 1 FROM f_tops f WHERE f.slate = c.slate AND "
+        f"f.matchup = c.matchup AND f.price = s.price AND f.name = c.captain))",
+        f"sd_known AS MATERIALIZED (SELECT {k}, price FROM (SELECT {k}, price, max(u) AS u FROM c_bounds GROUP BY {k}, price) "
+        f"QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY u, price) = 1)",
+        f"c_known AS MATERIALIZED (SELECT * FROM c_bounds JOIN sd_known USING ({k}, price))",
+        f"f_known AS MATERIALIZED (SELECT *, gain - price * salary AS worth, row_number() OVER (PARTITION BY {k} ORDER BY {order}) AS of_all "
+        f"FROM f_pool JOIN sd_known USING ({k}))",
+    ]
+
+    def lineups(out: str, captains: str, flexes: str, room: str | None, k: str = k) -> None:
+        key = f"{k}, captain"
+        parts.append(
+            f"{out}_pool AS MATERIALIZED (SELECT {key}, f.name, f.team, f.salary, f.gain, f.worth{', room' if room else ''}, "
+            f"row_number() OVER (PARTITION BY {key} ORDER BY f.worth DESC, f.salary, f.name) AS rank FROM {captains} c JOIN {flexes} f "
+            f"USING ({k}) WHERE f.name <> c.captain{' AND f.lack <= room + 16' if room else ''})"
+        )
+        each = ", ".join(f"max(CASE WHEN rank = {j} THEN worth END) OVER (PARTITION BY {key}) AS s{j}" for j in range(1, 6))
+        parts.append(f"{out}_ranked AS MATERIALIZED (SELECT *, {each} FROM {out}_pool)")
+        parts.append(_groups_sql(f"{out}_five", f"{out}_ranked", key, "true", 5, room))
+        parts.append(
+            f"{out}_whole AS MATERIALIZED (SELECT DISTINCT slate, matchup, g.cost + c.salary AS cost, g.total + c.gain AS total, "
+            f"['CPTN:' || captain] || list_sort(['FLEX:' || x FOR x IN members]) AS members FROM {out}_five g "
+            f"JOIN c_known c USING (slate, matchup, captain) WHERE g.cost + c.salary <= 50000 AND len(list_distinct(teams || [c_team])) > 1)"
+        )
+
+    # First lineups at the best price and at dearer ones, where few of the others fit the cap, with some of each team.
+    dear, order = "(SELECT unnest([1, 2, 4, 8, 16, 64]) AS m)", "gain - m * price * salary DESC"
+    lineups(
+        "h",
+        f"(SELECT * FROM c_known, {dear} QUALIFY row_number() OVER (PARTITION BY {k}, m ORDER BY {order}) <= 6)",
+        f"(SELECT * FROM f_known, {dear} QUALIFY row_number() OVER (PARTITION BY {k}, m ORDER BY {order}) <= 9 "
+        f"OR row_number() OVER (PARTITION BY {k}, m, team ORDER BY {order}) <= 2)",
+        None,
+        f"{k}, m",
+    )
+    parts += [
+        f"sd_reach AS MATERIALIZED (SELECT {k}, total AS reach FROM h_whole QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY total DESC) = {best})",
+        f"c_near AS MATERIALIZED (SELECT c.*, u - coalesce(reach, '-inf'::DOUBLE) AS room FROM c_known c LEFT JOIN sd_reach USING ({k}) WHERE u >= coalesce(reach, '-inf'::DOUBLE) - 16)",
+        f"f_near AS MATERIALIZED (SELECT f.*, last - f.worth AS lack FROM f_known f JOIN (SELECT {k}, min(worth) AS last FROM f_known WHERE of_all <= 6 GROUP BY {k}) USING ({k}))",
+    ]
+    lineups("i", "c_near", "f_near", "room")
+    parts += [
+        f"sd_best AS MATERIALIZED (SELECT {k}, row_number() OVER (PARTITION BY {k} ORDER BY total DESC, list_sort(members)) AS lineup, "
+        f"{_POINTS}, cost AS lineup_salary, members FROM i_whole QUALIFY lineup <= {best})",
+        f"sd_members AS MATERIALIZED (SELECT slate, matchup, lineup, lineup_points, lineup_salary, player_id, player, s.salary, team, position, pos, "
+        f"fpts_proj FROM (SELECT * EXCLUDE (members), unnest(members) AS m FROM sd_best) b JOIN sd s USING ({k}) "
+        f"WHERE s.position = substr(m, 1, 4) AND s.player_id = substr(m, 6))",
+    ]
+    return ", ".join(parts)
+
+
 PICKED_BEST = f"{PICKED}, {_best_sql('pick', 'pick')}"
 SAME_BEST = _best_sql("sim", "sim")
+ONE_DRAWN = f"{_draws('one', SEED, 1.0, slates=1)}, {_linked('one')}"
 
 SCORES = """scores AS (
   SELECT d.slate AS sim, m.slate, m.lineup, round(sum(d.score), 2) AS lineup_score
@@ -180,6 +351,9 @@ sd AS (
   FROM spread c CROSS JOIN {_slates(SHOWDOWN_SLATES)} n LEFT JOIN sd_scored s ON s.slate = n.slate AND s.player_id = c.player_id)"""
 
 
+SHOWDOWN_BEST = f"{PLAYERS}, {FEED}, {SHOWDOWN}, {_showdown_best_sql(SHOWDOWN_LINEUPS)}"
+
+
 GRID = """lines AS (
   SELECT l_orderkey AS number, min(l_partkey) AS qb, max(l_partkey) AS rb_1,
     coalesce(min(CASE WHEN l_returnflag = 'R' THEN l_partkey END), min(l_partkey)) AS rb_2,
@@ -261,7 +435,21 @@ def _showdown(s, d, slates=SHOWDOWN_SLATES):
 
 
 def _showdown_best(s, d):
-    return L.best_showdown_lineups(_showdown(s, d, SEARCHED_SLATES), best=SHOWDOWN_LINEUPS)
+    return L.best_showdown_lineups(_showdown(s, d), best=SHOWDOWN_LINEUPS)
+
+
+def _one_slate(s, d, best):
+    """Several lineups of a single drawn slate."""
+    return tidy(L.best_lineups(M.simulate_main(_slate_players(s, d), 1, SEED, 1.0), best=best), 4)
+
+
+def _plain_best(s, d):
+    """The best lineup by the projections themselves."""
+    players = _slate_players(s, d).select(
+        F.lit(1).alias("slate"), F.col("name").alias("player"), "team", "position",
+        F.col("salary").cast("int").alias("salary"), F.col("projection").alias("fpts_proj"),
+    )
+    return tidy(L.best_lineups(players), 4)
 
 
 def _members_nested(s, d):
@@ -289,7 +477,7 @@ def _grid_scores(s, d):
 
 
 _MEMBER_COLS = "slate, CAST(lineup AS INT) AS lineup, round(lineup_points, 4) + 0.0 AS lineup_points, CAST(lineup_salary AS BIGINT) AS lineup_salary, player, team, position, salary, round(fpts_proj, 4) + 0.0 AS fpts_proj"
-_SD_LINEUPS = SEARCHED_SLATES * SHOWDOWN_LINEUPS
+_SD_LINEUPS = SHOWDOWN_SLATES * SHOWDOWN_LINEUPS
 
 QUERIES = {
     "q17_unpivot_extract": (
@@ -362,7 +550,26 @@ QUERIES = {
         lambda s, d: tidy(_picked(s, d), 4),
         f"WITH {PLAYERS}, {PICKED_BEST} SELECT {_MEMBER_COLS} FROM pick_members",
     ),
-    "q21_showdown_lineups": (lambda s, d: tidy(_showdown_best(s, d), 4), None),
+    "q21_few_lineups": (
+        lambda s, d: _one_slate(s, d, FEW),
+        f"WITH {PLAYERS}, {ONE_DRAWN}, {_some_best_sql('one', 'one', FEW)} SELECT {_MEMBER_COLS} FROM one_members",
+    ),
+    "q21_many_lineups": (
+        lambda s, d: _one_slate(s, d, MANY),
+        f"WITH {PLAYERS}, {ONE_DRAWN}, {_some_best_sql('one', 'one', MANY)} SELECT {_MEMBER_COLS} FROM one_members",
+    ),
+    "q21_plain_lineup": (
+        _plain_best,
+        f"""WITH {PLAYERS}, plain AS (SELECT 1 AS slate, *, projection AS score FROM players),
+        {_some_best_sql('plain', 'plain', 1)} SELECT {_MEMBER_COLS} FROM plain_members""",
+    ),
+    "q21_showdown_lineups": (
+        lambda s, d: tidy(_showdown_best(s, d), 4),
+        f"""WITH {SHOWDOWN_BEST} SELECT slate, matchup, player_id, position, CAST(lineup AS INT) AS lineup,
+          round(lineup_points, 4) + 0.0 AS lineup_points, CAST(lineup_salary AS BIGINT) AS lineup_salary, player, salary, team, pos,
+          round(fpts_proj, 4) + 0.0 AS fpts_proj, CASE WHEN position = 'CPTN' THEN 'CPTN' ELSE pos END AS new_pos,
+          round(fpts_proj / (nullif(salary, 0) / 1000), 4) + 0.0 AS value FROM sd_members""",
+    ),
     "q23_score_lineups": (
         lambda s, d: tidy(_scores(s, d)[0]),
         f"WITH {SIMULATED}, {PICKED_BEST}, {SCORES} SELECT sim, slate, lineup, lineup_score FROM scores",
@@ -410,10 +617,15 @@ QUERIES = {
           string_agg(player, ', ' ORDER BY player) AS players FROM r GROUP BY slate, lineup""",
     ),
     "q24_showdown_players": (
-        lambda s, d: tidy(S.showdown_players(_showdown_best(s, d), _SD_LINEUPS)), None,
+        lambda s, d: tidy(S.showdown_players(_showdown_best(s, d), _SD_LINEUPS)),
+        f"""WITH {SHOWDOWN_BEST}, plays AS (SELECT matchup, player_id, player, pos, position, count(*) AS n FROM sd_members GROUP BY ALL)
+        SELECT matchup, player, pos, CAST(player_n AS BIGINT) AS player_n, round(player_n / {_SD_LINEUPS}.0, 6) + 0.0 AS player_pct
+        FROM (SELECT *, sum(n) OVER (PARTITION BY matchup, player_id) AS player_n FROM plays) WHERE position <> 'CPTN'""",
     ),
     "q24_showdown_plays": (
-        lambda s, d: tidy(S.showdown_plays(_showdown_best(s, d), _SD_LINEUPS)), None,
+        lambda s, d: tidy(S.showdown_plays(_showdown_best(s, d), _SD_LINEUPS)),
+        f"""WITH {SHOWDOWN_BEST} SELECT matchup, player_id, player, pos, position, {_SD_LINEUPS} AS total, count(*) AS n,
+          round(count(*) / {_SD_LINEUPS}.0, 6) + 0.0 AS pct FROM sd_members GROUP BY matchup, player_id, player, pos, position""",
     ),
     "q26_grid_scores": (
         _grid_scores,

@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from snapline.operators import dominance, joins, ordering, quantiles, reshape, topn
+from snapline.operators import joins, ordering, quantiles, reshape, topn
 
 
 @pytest.fixture(scope="module")
@@ -186,23 +186,6 @@ def test_density_integrates_to_one_and_takes_flat_groups(spark):
     assert all(r.n == 5 for r in out if r.g == "flat")
 
 
-@pytest.mark.parametrize("depth", [1, 3, 6])
-def test_dominators_match_pair_count(spark, depth):
-    random.seed(depth)
-    data = [
-        (random.choice("gh"), random.randrange(20), float(random.randrange(25)), f"t{i:03d}") for i in range(300)
-    ]
-    df = spark.createDataFrame(data, "g string, cost int, gain double, tie string")
-    got = {(r.g, r.tie): r.dominators for r in dominance.prune_dominated(df, ["g"], "cost", "gain", "tie", depth).collect()}
-    want = {}
-    for x in data:
-        n = sum(
-            y[0] == x[0] and y[1] <= x[1] and (-y[2], y[1], y[3]) < (-x[2], x[1], x[3]) for y in data
-        )
-        if n < depth:
-            want[x[0], x[3]] = n
-    assert got == want
-
 
 def test_reshape(spark, rows):
     df = spark.createDataFrame([(1, "a", None, "c")], "number int, qb string, RB_1 string, te string")
