@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,14 +66,35 @@ def salted_join(
     ).drop("_share")
 
 
+def heavy_keys(detail: DataFrame, keys, support: float = 1 / 32) -> list[tuple]:
+    """Keys that may hold more than ``support`` of the rows; at most 1 / ``support`` come to the driver.
+
+    One pass over the key columns with a bounded sketch of counts. No key above the threshold is missed, some below it
+    may be named; all named ones occur. The pass runs when this function is called.
+    """
+    found = detail.select(F.struct(*keys).alias("_key")).stat.freqItems(["_key"], support).first()[0]
+    return [tuple(k) for k in found]
+
+
 def left_join_detail(left: DataFrame, detail: DataFrame, keys, salts: int = 16) -> DataFrame:
     """Null-safe left join to a detail table with many rows per key, every match kept.
 
-    A left join cannot split a heavy key of its right side, so the matches come from a salted inner join
-    with the detail as the big side, and the rows without any match are added.
+    Only keys that hold a large part of the detail are split: their detail rows are dealt to ``salts`` shares and the
+    rows of ``left`` with such a key are repeated once per share. These keys do occur in the detail, so their rows of
+    ``left`` that find nothing in a share are dropped; all other keys are joined plainly, in the same join, so each
+    input is planned once.
     """
+    keys = list(keys)
+    heavy = heavy_keys(detail, keys)
+    if not heavy:
+        return natural_join(left, detail, "left", keys)
+
+    def is_heavy() -> Column:
+        return reduce(or_, [reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, key, strict=True)]) for key in heavy])
+
     others = [c for c in detail.columns if c not in keys]
-    matched = salted_join(detail, left, keys, others, "inner", salts).select(*left.columns, *others)
-    known = detail.select(*keys).distinct()
-    alone = left.alias("l").join(known.alias("r"), _null_safe("l", "r", keys), "left_anti")
-    return matched.unionByName(alone, allowMissingColumns=True)
+    share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in others]), F.lit(salts)).cast("int")
+    shares = F.when(is_heavy(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = detail.withColumns({"_share": F.when(is_heavy(), share).otherwise(0), "_found": F.lit(True)})
+    joined = natural_join(left.withColumn("_share", F.explode(shares)), dealt, "left", [*keys, "_share"])
+    return joined.where(F.col("_found").isNotNull() | ~is_heavy()).drop("_share", "_found")

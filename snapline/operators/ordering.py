@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import salted_join
+from ..session import cut_lineage
+from .joins import natural_join, salted_join
 
 ID_BLOCK = 1 << 20
 ROLL_BLOCK = 1 << 16
@@ -107,11 +108,37 @@ def rolling_mean(
     return rolled.where(F.col("_block") == F.col("_own")).drop("_block", "_own")
 
 
-def name_codes(df: DataFrame, column: str, name: str, prefix: int = 8) -> DataFrame:
+def sorted_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Row number within each group, whatever the values look like: one sort of the whole table over all tasks.
+
+    Spark samples the splitters that deal the sorted rows to tasks. A row's place in its task is counted there, and how
+    many rows of its group the tasks before hold comes from a small table of counts, a row per task and group. The sorted
+    rows are checkpointed, as they are read twice and must not be dealt anew; that job runs at once.
+    """
+    keys = list(keys)
+    ids = df.orderBy(*asc_last(*keys), *order).withColumn("_id", F.monotonically_increasing_id())
+    # Such an id is the task's number above 33 bits and the row's place in the task below.
+    rows = cut_lineage(ids.withColumn("_task", F.shiftright("_id", 33)))
+    held = rows.groupBy(*keys, "_task").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    line = F.sort_array(F.collect_list(F.struct("_task", "_first", "_n")))
+    before = F.transform(
+        "_line",
+        lambda x: F.struct(
+            x["_task"].alias("_task"),
+            (F.aggregate(F.filter("_line", lambda y: y["_task"] < x["_task"]), F.lit(0).cast("bigint"), lambda a, y: a + y["_n"])
+             - x["_first"] + 1).alias("_offset"),
+        ),
+    )
+    offsets = held.groupBy(*keys).agg(line.alias("_line")) if keys else held.agg(line.alias("_line"))
+    offsets = offsets.select(*keys, F.inline(before))
+    numbered = natural_join(rows, offsets, "left", [*keys, "_task"])
+    return numbered.withColumn(name, F.col("_id") + F.col("_offset")).drop("_id", "_task", "_offset")
+
+
+def name_codes(df: DataFrame, column: str, name: str) -> DataFrame:
     """Rank of each distinct text among all of them, in binary order, joined back to the rows."""
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    distinct = distinct.withColumn("_prefix", F.substring(column, 1, prefix))
-    codes = positions(distinct, [], asc_last(column), ["_prefix"], asc_last("_prefix"), name)
+    codes = sorted_positions(distinct, [], [F.col(column).asc()], name)
     return salted_join(df, codes.select(column, name), [column], df.columns)
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.na import fill_numeric, half_even, is_in, round_numeric, safe_ratio
 from ..functions.text import columns_containing, standard_names
 from ..operators.joins import left_join_detail, natural_join
-from ..operators.ordering import desc_last, name_codes
+from ..operators.ordering import desc_last, name_codes, sorted_positions
 from ..operators.sorting import arrange
 from ..operators.topn import first_rows
 
@@ -75,7 +75,7 @@ def roster_names(rosters: DataFrame) -> DataFrame:
     )
 
 
-def blend_projection(slate: DataFrame, points: DataFrame, rosters: DataFrame, prefix: int = 8) -> DataFrame:
+def blend_projection(slate: DataFrame, points: DataFrame, rosters: DataFrame) -> DataFrame:
     """Mix a slate's projection with expected points; a player without any keeps the projection.
 
     A weekly points table matches a player once per week, and those repeats are kept.
@@ -84,7 +84,7 @@ def blend_projection(slate: DataFrame, points: DataFrame, rosters: DataFrame, pr
     joined = left_join_detail(slate, points.withColumnRenamed("player_id", "_points_id"), keys)
     joined = left_join_detail(joined, rosters.withColumnRenamed("player_id", "_roster_id"), keys)
     joined = joined.withColumn("player_id", F.coalesce("_points_id", "_roster_id"))
-    coded = name_codes(joined, "name", "_code", prefix)
+    coded = name_codes(joined, "name", "_code")
     unit_id = F.concat(F.lit("00-"), F.col("_code").cast("string"))
     own, other = BLEND
     return (
@@ -159,8 +159,7 @@ def stat_charts(stats: DataFrame, teams) -> DataFrame:
     ]
     each = stats.select("name", "team", F.explode(F.array(*bars)).alias("x")).where("x.ok")
     each = each.select("name", "team", "x.chart", "x.shown")
-    upward = Window.partitionBy("chart").orderBy(F.col("shown").asc_nulls_last(), "name")
-    return each.withColumn("bar", F.row_number().over(upward))
+    return sorted_positions(each, ["chart"], [F.col("shown").asc_nulls_last(), F.col("name").asc()], "bar")
 
 
 def usage_per_salary(stats: DataFrame, salaries: DataFrame, teams=None) -> DataFrame:

@@ -228,8 +228,8 @@ def best_lineups(
 ) -> DataFrame:
     """The ``best`` highest-scoring lineups of every slate, one row per member.
 
-    ``pool`` needs the slate columns, player (unique in a slate), position, salary, fpts_proj; its other
-    columns are carried to the members. Players without a score cannot be chosen. Points count to six digits; ties go
+    ``pool`` needs the slate columns, player, position, salary, fpts_proj; its other columns are carried to the members.
+    A player is known by player, position and, where the pool has it, team, once in a slate. Players without a score cannot be chosen. Points count to six digits; ties go
     to the cheaper lineup, then to the first by its sorted members. Jobs run while the result is built.
     """
     slate = list(slate)
@@ -239,10 +239,12 @@ def best_lineups(
     depth = F.lit(0)
     for pos, n in most.items():
         depth = F.when(F.col("section") == pos, n + best - 1).otherwise(depth)
+    known_by = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("player", "team", "position") if c in pool.columns]
+    pool = pool.withColumn("_id", F.concat_ws("\x1f", *known_by))
     priced = pool.where(
         F.col("position").isin(list(most)) & (F.col("salary") <= cap) & F.col("fpts_proj").isNotNull()
     ).select(
-        *slate, F.col("position").alias("section"), "player", F.col("salary").alias("cost"),
+        *slate, F.col("position").alias("section"), F.col("_id").alias("player"), F.col("salary").alias("cost"),
         _gain(cap).alias("gain"),
     )
     kept = cut_lineage(best_per_salary(priced, [*slate, "section"], depth))
@@ -312,9 +314,9 @@ def best_lineups(
     known = _with_reach(known, slate, best, lambda some, width: search(some.withColumn("reach", blank), width))
     chosen = _number(search(known), slate, best).select(
         *slate, "lineup", _points(cap), F.col("cost").cast("bigint").alias("lineup_salary"),
-        F.explode("members").alias("player"),
+        F.explode("members").alias("_id"),
     )
-    return cut_lineage(chosen.join(pool, [*slate, "player"]))
+    return cut_lineage(chosen.join(pool, [*slate, "_id"]).drop("_id"))
 
 
 def salary_profile(lineups: DataFrame, slate=("slate",), tops=(2, 3, 4, 5), mid=(4, 6)) -> DataFrame:

@@ -8,30 +8,34 @@ from pyspark.sql import functions as F
 from ..functions.na import floor_at, na_sum, percent_text
 from ..functions.text import extract_first, player_from_label
 from ..operators.joins import natural_join, salted_join
-from ..operators.reshape import wide_to_long
+from ..operators.reshape import wide_to_long, with_keys
 from ..operators.topn import top_n
 from .simulate import MAIN_FLOOR
 
 MEMBER = ["player", "team", "position", "salary"]
 
 
-def score_in_slates(draws: DataFrame, members: DataFrame, lineup, sim: str = "sim", digits: int | None = 2) -> DataFrame:
-    """Score of every lineup in every simulated slate.
+def score_in_slates(
+    draws: DataFrame, members: DataFrame, lineup, sims: int, sim: str = "sim", digits: int | None = 2
+) -> DataFrame:
+    """Score of every lineup in every simulated slate, numbered 1 to ``sims`` in column ``sim`` of the draws.
 
     Draws and members meet on the player. The draws of a player are spread by slate, so a popular player
-    does not decide the run time. A member without a draw adds nothing; the lineup stays.
+    does not decide the run time. A member without a draw adds nothing; the lineup stays. Lineups that hold no player
+    drawn in every slate get a row of 0 per slate to add to; no others do.
     """
     lineup = list(lineup)
-    sims = draws.agg(F.collect_set(sim)).scalar()
     drawn = draws.select(sim, *MEMBER, "fpts_proj")
-    met = salted_join(drawn, members.select(*lineup, *MEMBER), MEMBER, [sim], "inner")
-    scores = met.groupBy(sim, *lineup).agg(F.sum("fpts_proj").alias("_score"))
-    # Lineups none of whose members were drawn still score 0 in every slate.
-    every = members.select(*lineup).distinct().withColumn(sim, F.explode(sims))
-    score = F.coalesce("_score", F.lit(0.0))
+    held = members.select(*lineup, *MEMBER)
+    met = salted_join(drawn, held, MEMBER, [sim], "inner").select(sim, *lineup, "fpts_proj")
+    always = drawn.groupBy(*MEMBER).agg(F.count_distinct(sim).alias("_sims")).where(F.col("_sims") == sims)
+    sure = natural_join(held, always, "left", MEMBER).groupBy(*lineup).agg(F.max("_sims").alias("_sims"))
+    zeros = with_keys(sure.where(F.col("_sims").isNull()).select(*lineup), sim, sims)
+    zeros = zeros.select(F.col(sim).cast(dict(met.dtypes)[sim]).alias(sim), *lineup, F.lit(0.0).alias("fpts_proj"))
+    score = F.coalesce(F.sum("fpts_proj"), F.lit(0.0))
     if digits is not None:
         score = F.round(score, digits)
-    return natural_join(every, scores, "left", [sim, *lineup]).select(sim, *lineup, score.alias("lineup_score"))
+    return met.unionByName(zeros).groupBy(sim, *lineup).agg(score.alias("lineup_score"))
 
 
 def mean_scores(scores: DataFrame, lineup) -> DataFrame:
@@ -79,6 +83,7 @@ def lineup_share(members: DataFrame, contest=()) -> DataFrame:
     )
 
 
+# The slots' names in the headers of a lineup grid.
 SLOT_NAMES = ("qb", "rb_", "wr_", "te", "flex", "dst")
 
 
@@ -118,6 +123,8 @@ def grid_scores(draws: DataFrame, grid: DataFrame) -> DataFrame:
 def grid_scores_by_draw(draws: DataFrame, grid: DataFrame) -> DataFrame:
     """Score of every grid lineup in every draw, for the draws in which all its members appear."""
     size = grid.groupBy("number").agg(F.count(F.lit(1)).alias("_size"))
+    # A player with several rows has their sum in each draw.
+    draws = draws.groupBy("player", "pos", "sim_num").agg(na_sum("sim_proj").alias("sim_proj"))
     met = salted_join(draws, grid, ["player", "pos"], ["sim_num"], "inner")
     scores = met.groupBy("sim_num", "number").agg(
         F.sum("sim_proj").alias("lineup_score"), F.count("sim_proj").alias("_have")

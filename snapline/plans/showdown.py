@@ -105,8 +105,9 @@ def simulate_showdown(
     # One row per player and role, read three times below; the simulated slates multiply it later.
     chosen = cut_lineage(matchup_of(default_spread(chosen)))
     flex = chosen.where(F.col("position") != "CPTN")
-    drawn = draw_scores(flex, slates, seed, randomness, SHOWDOWN_FLOOR, key=("player_id",))
-    linked = link_to_passers(drawn, SHOWDOWN, key=("player_id",))
+    row = ("player_id", "team", "pos")
+    drawn = draw_scores(flex, slates, seed, randomness, SHOWDOWN_FLOOR, key=row)
+    linked = link_to_passers(drawn, SHOWDOWN, key=row)
     mean = linked.groupBy("slate", "matchup", "player_id").agg(F.avg("new_proj").alias("_mean"))
     # Captain and flex rows never share all join columns, so joining them fully is a padded union: the
     # flex rows the link covers and every captain row. Both take the player's mean flex score.

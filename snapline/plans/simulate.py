@@ -61,7 +61,10 @@ def draw_scores(
     players: DataFrame, slates: int, seed: int, randomness: float = 0.0, low: float = MAIN_FLOOR,
     key=("name",), value: str = "projection",
 ) -> DataFrame:
-    """One normal draw per player and slate, raised to the floor; a player without a projection stays null."""
+    """One normal draw per player and slate, raised to the floor; a player without a projection stays null.
+
+    ``key`` tells the rows apart: rows that agree in it get the same random number.
+    """
     repeated = with_keys(evenly(players), "slate", slates)
     drawn = normal(seed, ["slate", *key], value, F.col("std_dev") * (1.0 + randomness))
     return repeated.withColumn(value, floor_at(drawn, low))
@@ -149,8 +152,9 @@ def simulate_main(slate_players: DataFrame, slates: int, seed: int, randomness:
     players = slate_players.select(
         F.col("name"), "team", "opp", "salary", F.col("position").alias("pos"), "projection", "std_dev"
     )
-    drawn = draw_scores(players, slates, seed, randomness).drop("std_dev")
-    linked = link_to_passers(drawn, MAIN)
+    row = ("name", "team", "pos")
+    drawn = draw_scores(players, slates, seed, randomness, key=row).drop("std_dev")
+    linked = link_to_passers(drawn, MAIN, key=row)
     return linked.select(
         "slate", F.col("name").alias("player"), "team", F.col("pos").alias("position"),
         F.col("salary").cast("int").alias("salary"), F.col("new_proj").alias("fpts_proj"),

@@ -51,7 +51,7 @@ def _slates(n: int) -> str:
 
 def _draws(name: str, seed: int, randomness: float, source: str = "players", slates: int = SLATES) -> str:
     return f"""{name}_draws AS (
-  SELECT *  EXCLUDE (projection), greatest(-2.0, projection + std_dev * {1 + randomness} * {_normal(seed, "name")}) AS p
+  SELECT *  EXCLUDE (projection), greatest(-2.0, projection + std_dev * {1 + randomness} * {_normal(seed, "name, team, pos")}) AS p
   FROM {source}, {_slates(slates)})"""
 
 
@@ -332,7 +332,7 @@ SHOWDOWN = f"""spread AS (
     CASE WHEN pos = 'K' THEN 5.5 WHEN fpts_proj > 0 AND std_dev IS NULL THEN 5.0 WHEN fpts_proj <= 0 THEN 0.0
       ELSE std_dev END AS std_dev FROM converted),
 flex AS (
-  SELECT *, greatest(-1.0, fpts_proj + std_dev * 11.0 * {_normal(SEED, "player_id")}) AS p
+  SELECT *, greatest(-1.0, fpts_proj + std_dev * 11.0 * {_normal(SEED, "player_id, team, pos")}) AS p
   FROM spread, {_slates(SHOWDOWN_SLATES)} WHERE position = 'FLEX'),
 sd_qb AS (SELECT slate, team, opp, sum(CASE WHEN p > 0 THEN p ELSE 0 END) AS qb FROM flex WHERE pos = 'QB' GROUP BY ALL),
 sd_own AS (SELECT slate, team, sum(qb) AS qb FROM sd_qb GROUP BY ALL),
@@ -402,7 +402,7 @@ def _picked(s, d):
 def _scores(s, d):
     draws = _sim(s, d).withColumnRenamed("slate", "sim")
     picked = _picked(s, d)
-    return S.score_in_slates(draws, picked, ["slate", "lineup"]), picked
+    return S.score_in_slates(draws, picked, ["slate", "lineup"], SLATES), picked
 
 
 def _means(s, d):
@@ -423,7 +423,7 @@ def _final_form(s, d):
     """Each slate's own best lineup, scored in every slate."""
     draws = _sim(s, d)
     own = L.best_lineups(draws)
-    return S.mean_scores(S.score_in_slates(draws.withColumnRenamed("slate", "sim"), own, ["slate"]), ["slate"])
+    return S.mean_scores(S.score_in_slates(draws.withColumnRenamed("slate", "sim"), own, ["slate"], SLATES), ["slate"])
 
 
 def _converted(s, d, keep_known=False):
@@ -490,7 +490,9 @@ QUERIES = {
     ),
     "q18_slate_draws": (
         lambda s, d: tidy(
-            M.draw_scores(_slate_players(s, d), SLATES, SEED, 1.0).select("slate", "name", "position", "projection")
+            M.draw_scores(_slate_players(s, d), SLATES, SEED, 1.0, key=("name", "team", "position")).select(
+                "slate", "name", "position", "projection"
+            )
         ),
         f"""WITH {PLAYERS}, {_draws('sim', SEED, 1.0)}
         SELECT slate, name, pos AS position, round(p, 6) + 0.0 AS projection FROM sim_draws""",

@@ -81,7 +81,27 @@ def test_rolling_mean_rejects_a_short_block(plays):
 
 def test_name_codes(spark, rows):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), (None,)], "name string")
-    assert rows(ordering.name_codes(df, "name", "code", prefix=1)) == [("a", 1), ("a", 1), ("b", 2), ("c", 3), (None, None)]
+    assert rows(ordering.name_codes(df, "name", "code")) == [("a", 1), ("a", 1), ("b", 2), ("c", 3), (None, None)]
+
+
+@pytest.mark.parametrize("head", ["the same beginning of every name ", ""])
+def test_name_codes_of_many_names(spark, head):
+    names = [f"{head}{i * 7919 % 5000:05d}"[::1 if head else -1] for i in range(5000)]
+    df = spark.createDataFrame([(n,) for n in [*names, *names[:50]]], "name string").repartition(7)
+    codes = ordering.name_codes(df, "name", "code")
+    assert {r["name"]: r["code"] for r in codes.collect()} == {n: i for i, n in enumerate(sorted(names), 1)}
+    assert "Window" not in codes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorted_positions_with_one_large_group(spark):
+    random.seed(6)
+    data = [("hot" if i % 5 else random.choice(["a", None]), random.choice([None, 1.0, 2.0, random.random()]), f"n{i:05d}") for i in range(4000)]
+    df = spark.createDataFrame(data, "k string, x double, n string").repartition(5)
+    got = {r["n"]: r["pos"] for r in ordering.sorted_positions(df, ["k"], [F.col("x").asc_nulls_last(), F.col("n").asc()], "pos").collect()}
+    for k in ("hot", "a", None):
+        line = sorted((r for r in data if r[0] == k), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in line] == list(range(1, len(line) + 1))
+    assert ordering.sorted_positions(df.limit(0), ["k"], [F.col("n").asc()], "pos").collect() == []
 
 
 def test_natural_join_matches_null_keys(spark, rows):
@@ -124,6 +144,20 @@ def test_left_join_to_a_heavy_detail(plays, spark, rows):
     got = rows(joins.left_join_detail(left, df, ["k"]), "k", "w", "id")
     want = rows(joins.natural_join(left, df, "left", ["k"]), "k", "w", "id")
     assert got == want and len(got) > 800
+    plan = joins.left_join_detail(left, df, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" not in plan
+    assert joins.heavy_keys(df, ["k"], 0.4) == [("hot",)]
+
+
+def test_left_join_detail_without_heavy_keys(spark, rows):
+    df = spark.createDataFrame([(i % 100, i) for i in range(300)], "k int, id int")
+    left = spark.createDataFrame([(5, "a"), (500, "b"), (None, "c")], "k int, w string")
+    got = joins.left_join_detail(left, df, ["k"])
+    assert rows(got, "k", "w", "id") == rows(joins.natural_join(left, df, "left", ["k"]), "k", "w", "id")
+    # Keys that are not heavy are not copied.
+    assert "sequence" not in got._jdf.queryExecution().optimizedPlan().toString() or joins.heavy_keys(df, ["k"])
+    nothing = joins.left_join_detail(left, df.limit(0), ["k"])
+    assert nothing.count() == 3
 
 
 def test_best_first_with_many_equal_scores(spark):

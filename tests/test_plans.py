@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from snapline.plans import blend, player_stats, plays, scoring, showdown, simulate
+from snapline.plans import blend, lineups, player_stats, plays, scoring, showdown, simulate
 from snapline.sources import files
 
 PLAY = (
@@ -199,18 +199,33 @@ def test_default_spread(spark):
     assert [r.std_dev for r in showdown.default_spread(df).collect()] == [5.5, 5.0, 0.0, 2.0, None]
 
 
+def test_players_of_one_name_are_told_apart(spark):
+    pool = [("Al Bo", "T1", "T2", "WR", 5000, 9.0, 3.0), ("Al Bo", "T2", "T1", "WR", 5000, 9.0, 3.0), ("Al Bo", "T1", "T2", "TE", 5000, 9.0, 3.0)]
+    pool += [(f"{p} {i}", "T1", "T2", p, 4000, 5.0, 0.5) for p, n in (("QB", 1), ("RB", 2), ("WR", 2), ("DST", 1)) for i in range(n)]
+    pool.append(("QB of T2", "T2", "T1", "QB", 4000, 5.0, 0.5))
+    df = spark.createDataFrame(pool, "name string, team string, opp string, position string, salary int, projection double, std_dev double")
+    draws = simulate.draw_scores(df, 1, 7, key=("name", "team", "position")).where("name = 'Al Bo'").collect()
+    assert len({r["projection"] for r in draws}) == 3
+    slates = simulate.simulate_main(df, 2, 7)
+    assert slates.count() == 20
+    best = lineups.best_lineups(slates).collect()
+    assert len(best) == 18 and sum(r["player"] == "Al Bo" for r in best) == 6
+
+
 def test_scores_with_and_without_missing_members(spark, rows):
     draws = spark.createDataFrame(
         [(1, "a", "T", "WR", 10, 1.006), (1, "b", "T", "WR", 10, 2.0), (2, "a", "T", "WR", 10, 3.0)],
         "sim int, player string, team string, position string, salary int, fpts_proj double",
     )
     members = spark.createDataFrame(
-        [(1, 1, "a", "T", "WR", 10), (1, 1, "b", "T", "WR", 10), (1, 2, "z", "T", "WR", 10)],
+        [(1, 1, "a", "T", "WR", 10), (1, 1, "b", "T", "WR", 10), (1, 2, "z", "T", "WR", 10), (1, 3, "b", "T", "WR", 10)],
         "slate int, lineup int, player string, team string, position string, salary int",
     )
-    scores = scoring.score_in_slates(draws, members, ["slate", "lineup"])
-    assert rows(scores, "sim", "lineup", "lineup_score") == [(1, 1, 3.01), (1, 2, 0.0), (2, 1, 3.0), (2, 2, 0.0)]
-    assert rows(scoring.mean_scores(scores, ["slate", "lineup"]), "lineup", "lineup_score") == [(1, 3.005), (2, 0.0)]
+    scores = scoring.score_in_slates(draws, members, ["slate", "lineup"], 2)
+    assert rows(scores, "sim", "lineup", "lineup_score") == [
+        (1, 1, 3.01), (1, 2, 0.0), (1, 3, 2.0), (2, 1, 3.0), (2, 2, 0.0), (2, 3, 0.0)
+    ]
+    assert rows(scoring.mean_scores(scores, ["slate", "lineup"]), "lineup", "lineup_score") == [(1, 3.005), (2, 0.0), (3, 1.0)]
 
 
 def test_grid(spark, rows):
@@ -227,6 +242,10 @@ def test_grid(spark, rows):
     scores = scoring.grid_scores(draws, long)
     assert rows(scores) == [(1, 8.0), (2, None), (3, None)]
     assert rows(scoring.grid_scores_by_draw(draws, long)) == [(1, 1, 13.0), (2, 1, 3.0)]
+    # A player with two projection rows counts with both.
+    twice = draws.unionByName(draws.where("player = '49ers'"))
+    assert rows(scoring.grid_scores_by_draw(twice, long)) == [(1, 1, 16.0), (2, 1, 8.0)]
+    assert rows(scoring.grid_scores(twice, long)) == [(1, 12.0), (2, None), (3, None)]
     assert rows(scoring.grid_exposure(scores, long, k=1)) == [("49ers", "DST", "SF", 1.0), ("A.J. Dillon", "QB", "GB", 1.0)]
 
 
