@@ -40,6 +40,8 @@ HEADLINE = (
     "q19_qb_linked",
     "q20_showdown_linked",
     "q21_best_lineups",
+    "q21_many_lineups",
+    "q21_showdown_lineups",
     "q23_mean_scores",
     "q24_exposure",
     "q25_density",

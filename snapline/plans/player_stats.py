@@ -174,8 +174,11 @@ def over_achievers(
         kept, "position", ["player_name", "range", "games", "opps"],
         ["tds_opp", "season_n_1_opp_diff", "season_n_1_diff"],
     )
-    return table.withColumn("change_text", percent_text("season_n_1_diff")).withColumn(
-        "opp_change_text", number_text("season_n_1_opp_diff")
+    return table.withColumns(
+        {
+            "opps_text": number_text("opps"), "tds_opp_text": percent_text("tds_opp"),
+            "change_text": percent_text("season_n_1_diff"), "opp_change_text": number_text("season_n_1_opp_diff"),
+        }
     )
 
 

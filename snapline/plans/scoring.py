@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.na import floor_at, na_sum, percent_text
 from ..functions.text import extract_first, player_from_label
 from ..operators.joins import natural_join, salted_join
-from ..operators.reshape import wide_to_long, with_keys
+from ..operators.reshape import nest_rows, unnest_rows, wide_to_long, with_keys
 from ..operators.topn import top_n
 from .simulate import MAIN_FLOOR
 
@@ -103,6 +103,17 @@ def read_grid_draws(projections: DataFrame, low: float = MAIN_FLOOR) -> DataFram
     )
 
 
+def picked_draws(draws: DataFrame, first: int = 1, last: int = 2) -> DataFrame:
+    """The draws ``first`` to ``last`` of every player, picked from the player's nested draws.
+
+    Draws are nested by player, as many as there are draws, and not by draw, where a row would hold all players.
+    """
+    nested = nest_rows(draws, ["player", "pos"], ["sim_num", "sim_proj"], "data")
+    some = F.filter("data", lambda x: x["sim_num"].between(first, last))
+    one = F.element_at(F.filter("data", lambda x: x["sim_num"] == first), 1)["sim_proj"]
+    return unnest_rows(nested.select("player", "pos", one.alias("first_proj"), some.alias("data")), "data")
+
+
 def grid_scores(draws: DataFrame, grid: DataFrame) -> DataFrame:
     """Mean score of every grid lineup over all draws; null when a member lacks any draw.
 

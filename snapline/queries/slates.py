@@ -426,6 +426,14 @@ def _final_form(s, d):
     return S.mean_scores(S.score_in_slates(draws.withColumnRenamed("slate", "sim"), own, ["slate"], SLATES), ["slate"])
 
 
+def _final_exposure(s, d):
+    """Players in the best of each slate's own lineups."""
+    draws = _sim(s, d)
+    own = L.best_lineups(draws)
+    scores = S.score_in_slates(draws.withColumnRenamed("slate", "sim"), own, ["slate"], SLATES)
+    return S.exposure(S.keep_best(tidy(S.mean_scores(scores, ["slate"])), own, KEPT, ["slate"]), KEPT)
+
+
 def _converted(s, d, keep_known=False):
     return D.convert_feed(V.showdown_feed(s, d), V.known_projections(s, d), keep_known)
 
@@ -629,6 +637,30 @@ QUERIES = {
         f"""WITH {SHOWDOWN_BEST} SELECT matchup, player_id, player, pos, position, {_SD_LINEUPS} AS total, count(*) AS n,
           round(count(*) / {_SD_LINEUPS}.0, 6) + 0.0 AS pct FROM sd_members GROUP BY matchup, player_id, player, pos, position""",
     ),
+    "q24_final_exposure": (
+        lambda s, d: S.exposure_table(tidy(_final_exposure(s, d))),
+        f"""WITH {SIMULATED}, {SAME_BEST}, sc AS (
+          SELECT d.slate AS sim, m.slate, round(sum(d.score), 2) AS lineup_score FROM sim_members m JOIN sim d ON m.player = d.name
+          GROUP BY ALL),
+        means AS (SELECT slate, round(avg(lineup_score), 6) + 0.0 AS lineup_score FROM sc GROUP BY slate),
+        best AS (SELECT * FROM means QUALIFY rank() OVER (ORDER BY lineup_score DESC) <= {KEPT}),
+        e AS (SELECT player, position, salary, team, round(count(*) / {KEPT}.0, 6) AS exp
+          FROM best JOIN sim_members USING (slate) GROUP BY ALL)
+        SELECT *, printf('%.1f%%', round(exp * 100, 1)) AS exp_text FROM e""",
+    ),
+    "q24_showdown_share": (
+        lambda s, d: tidy(S.lineup_share(_showdown_best(s, d), ("slate", "matchup"))),
+        f"""WITH {SHOWDOWN_BEST} SELECT slate, matchup, player_id, pos, count(*) AS n,
+          round(count(*) / max(lineup), 6) + 0.0 AS pct FROM sd_members GROUP BY slate, matchup, player_id, pos""",
+    ),
+    "q26_picked_draws": (
+        lambda s, d: tidy(S.picked_draws(_grid_draws(s, d))),
+        f"""WITH {PLAYERS}, gdraws AS ({_GRID_DRAW}), named AS (
+          SELECT CASE WHEN k = 49 THEN '49ers' ELSE 'Player ' || translate(CAST(k AS VARCHAR), '0123456789', 'abcdefghij') END AS player,
+            pos, CAST(sim_num AS INT) AS sim_num, sim_proj FROM gdraws JOIN players ON k = p_partkey)
+        SELECT player, pos, sim_num, {r6("sim_proj")}, round(first_value(sim_proj) OVER (PARTITION BY player, pos ORDER BY sim_num), 6) + 0.0
+          AS first_proj FROM named QUALIFY sim_num <= 2""",
+    ),
     "q26_grid_scores": (
         _grid_scores,
         f"WITH {PLAYERS}, {GRID}, {GRID_SCORES} SELECT number, lineup_score FROM gmean",

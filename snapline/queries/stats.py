@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from ..plans import player_stats as P
+import uuid
+
 from ..operators.sorting import arrange
+from ..plans import player_stats as P
+from ..session import checkpoint_folder
 from ..sources import standins as V
+from ..sources.files import read_seasons, write_seasons
 from .common import r6, tidy
 from .games import density_sql
 
@@ -54,6 +58,8 @@ def _season_sums(name: str, where: str) -> str:
 RATES = f"{PLAYER_STATS}, {_season_sums('rates', chr(39).join(['season_type = ', 'REG', '']))}"
 POST = f"""{PLAYER_STATS}, {_season_sums('post', "season_type = 'POST' AND season = 2000 AND recent_team IN ('AO', 'RF')")},
 playoffs AS (SELECT *, epa / nullif(opps, 0) AS epa_play FROM post WHERE opps > 3)"""
+LANDED_SEASONS = (1996, 1998)
+LANDED = f"{PLAYER_STATS}, " + _season_sums("landed", "season_type = 'REG' AND season BETWEEN {} AND {}".format(*LANDED_SEASONS))
 PACE = """pace AS (
   SELECT player_id, player_name, position, first(recent_team ORDER BY season DESC) AS team,
     CAST(sum(games) AS BIGINT) AS games,
@@ -112,6 +118,13 @@ def _pct(x: str) -> str:
     return f"coalesce(printf('%.1f%%', round({x} * 100, 1) + 0.0), '')"
 
 
+def _landed(s, d):
+    """Some seasons of a table that lies by season: other seasons' files are not opened."""
+    path = f"{checkpoint_folder(s).rstrip('/')}/seasons-{uuid.uuid4().hex}"
+    write_seasons(_stats(s, d), path)
+    return read_seasons(s, path, *LANDED_SEASONS)
+
+
 QUERIES = {
     "q10_per_game_rates": (
         lambda s, d: tidy(_rates(s, d)),
@@ -123,6 +136,12 @@ QUERIES = {
           s_rushes AS rushes, s_passes AS passes, s_targets + s_rushes + s_passes AS opps, s_tds AS touchdowns,
           round(s_tds / nullif(s_targets + s_rushes + s_passes, 0), 6) + 0.0 AS tds_opp FROM rates_sums""",
     ),
+    "q10_landed_seasons": (
+        lambda s, d: tidy(P.touchdown_rates(_landed(s, d), V.STAT_TIE)),
+        f"""WITH {LANDED} SELECT player_id, position, season, recent_team, player_name, games, s_targets AS targets,
+          s_rushes AS rushes, s_passes AS passes, s_targets + s_rushes + s_passes AS opps, s_tds AS touchdowns,
+          round(s_tds / nullif(s_targets + s_rushes + s_passes, 0), 6) + 0.0 AS tds_opp FROM landed_sums""",
+    ),
     "q10_playoff_rates": (
         lambda s, d: arrange(tidy(_playoffs(s, d)), "-epa_play", "player_id"),
         f"WITH {POST} SELECT {_RATE_COLS}, {r6('epa_play')} FROM playoffs",
@@ -181,6 +200,7 @@ QUERIES = {
           FROM picked GROUP BY GROUPING SETS ((position, player_name, range, games, opps), (position)))
         SELECT row_kind, position, player_name, range, games, opps,
           {r6("tds_opp", "season_n_1_opp_diff", "season_n_1_diff")}, {_pct("season_n_1_diff")} AS change_text,
+          coalesce(printf('%.1f', round(opps, 1) + 0.0), '') AS opps_text, {_pct("tds_opp")} AS tds_opp_text,
           coalesce(printf('%.1f', round(season_n_1_opp_diff, 1) + 0.0), '') AS opp_change_text
         FROM both_kinds""",
     ),

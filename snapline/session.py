@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED = {
@@ -30,10 +32,23 @@ def local_session(app: str = "snapline", cpus: int | str = "*", partitions: int
     return builder.getOrCreate()
 
 
+_own_folders: dict[str, str] = {}
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where none is, one in the warehouse, which is shared as well."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Only a local session, whose one process sees its own disk, may go without: it gets a temporary folder of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if named:
+        return named
+    context = spark.sparkContext
+    if context.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="snapline-")
+    return _own_folders[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
