@@ -14,29 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder as scratch_folder
+
 #: Bytes of text that one step of a Python task handles at a time; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
 
-_own_folders: dict[str, str] = {}
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``.
-
-    Only a local session, whose one process sees its own disk, may go without: it gets a temporary folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if context.master.partition("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _own_folders:
-        _own_folders[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="llm-scratch-")
-    return _own_folders[context.applicationId]
-
-
 #: Where the tables written within ``recorded`` are noted.
 _notes: list[list[str]] = []
 
