@@ -7,10 +7,12 @@ it, and only as many of them matter as the longest suffix that begins a token is
 counts relative to now, are the state; the change of the count is the output on the transition. States are compiled
 when a text first needs them.
 
-Texts are cut into chunks that advance in lockstep. A chunk's map from the state in which it is entered to the state in
-which it is left, with the tokens it counts, is constant after its first piece begins. So all chunks that hold the
-beginning of a piece compose at once; the bytes before it belong to the chunk where their piece began, and only chunks
-within one long piece wait for the state that the chunk before them leaves.
+Texts are cut into chunks that advance in lockstep. A chunk's map takes the state in which it is entered to the state in
+which it is left and the tokens it counts. After the beginning of a piece this map is constant, so a chunk that begins
+with one needs no other. Within a longer piece the map is made for the states that are reached: first for the state that
+some bytes before the chunk lead to, then for those in which the chunk before may be left, until no exit is missing; all
+chunks advance side by side in each of these rounds. The maps of a piece are then composed by a parallel prefix scan,
+pairs first, which gives the state in which each chunk is really entered.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from .common import map_texts
 
 #: Bytes after which a chunk ends with its piece, and how many steps are laid out at once.
 CHUNK, LAID = 512, 64
-#: States after which the next step of a task begins a new table; states are compiled anew as they are met.
+#: Bytes before a chunk that its first guess of the entry state is made from.
+LOOK = 64
+#: States after which a new table is begun, within a text too; states are compiled anew as they are met.
 MOST_STATES = 150_000
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -85,6 +89,25 @@ def piece_starts(code: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return start
 
 
+#: From entry states to exit state and tokens counted.
+Map = dict[tuple, tuple[tuple, int]]
+
+
+def composed(first: Map, then: Map) -> Map:
+    """The map of two neighbouring chunks."""
+    return {entry: (then[exit_][0], n + then[exit_][1]) for entry, (exit_, n) in first.items()}
+
+
+def prefixes(maps: list[Map]) -> list[Map]:
+    """The maps of all first 1, 2, 3, ... chunks: pairs are composed, scanned, and completed by every second chunk."""
+    if len(maps) < 2:
+        return maps
+    pairs = prefixes([composed(a, b) for a, b in zip(maps[::2], maps[1::2])])
+    return [
+        maps[0] if not i else pairs[i // 2] if i % 2 else composed(pairs[i // 2 - 1], maps[i]) for i in range(len(maps))
+    ]
+
+
 class Counter:
     """The compiled transducer of one vocabulary."""
 
@@ -113,13 +136,25 @@ class Counter:
         self.valid: dict[tuple[int, int], bool] = {}
         self._reset()
 
-    def _reset(self) -> None:
+    def _renew(self) -> None:
+        """Begins a new table of states; bytes keep their columns."""
         start = (0, ((-1, 0),))
         self.states, self.number = [start], {start: 0}
+        self.table = np.full(16384 * self.width, -1, np.int32)
+
+    def _intern(self, state: tuple) -> int:
+        number = self.number.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+            if (number + 1) * self.width > len(self.table):
+                self.table = np.concatenate([self.table, np.full(16384 * self.width, -1, np.int32)])
+        return number
+
+    def _reset(self) -> None:
         #: Bytes have columns in the order in which they are met, so that texts in few scripts need a narrow table.
         self.column, self.byte = np.full(256, -1, np.int32), []
         self.width = 64
-        self.table = np.full(16384 * self.width, -1, np.int32)
+        self._renew()
 
     def _columns(self, raw: np.ndarray) -> np.ndarray:
         for b in np.flatnonzero(np.bincount(raw, minlength=256)).tolist():
@@ -159,11 +194,7 @@ class Counter:
         change = past[back][1] + 1
         kept = past[: self.depth[node]]
         state_to = (node, ((token, 0), *((t, c - change) for t, c in kept)))
-        number = self.number.setdefault(state_to, len(self.states))
-        if number == len(self.states):
-            self.states.append(state_to)
-            if (number + 1) * self.width > len(self.table):
-                self.table = np.concatenate([self.table, np.full(16384 * self.width, -1, np.int32)])
+        number = self._intern(state_to)
         self.table[state * self.width + int(self.column[b])] = number << 9 | (change + 256)
 
     def _step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
@@ -175,6 +206,40 @@ class Counter:
             out = self.table[key]
         return out
 
+    def _run(
+        self, columns: np.ndarray, start: np.ndarray, at: np.ndarray, size: np.ndarray, entry: list[tuple],
+        out: np.ndarray | None = None,
+    ) -> tuple[list[tuple], np.ndarray]:
+        """Exit states and token counts of the stretches ``at`` to ``at + size``, entered in the given states, side by
+        side; ``out`` takes each byte's change of the count."""
+        order = np.argsort(-size, kind="stable")
+        at, size = at[order], size[order]
+        state = np.array([self._intern(entry[i]) for i in order], np.int32)
+        total = np.zeros(len(at), np.int64)
+        for first in range(0, int(size[0]) if len(size) else 0, LAID):
+            if len(self.states) > MOST_STATES:
+                held = [self.states[x] for x in state]
+                self._renew()
+                state = np.array([self._intern(x) for x in held], np.int32)
+            lanes = int(np.searchsorted(-size, -first, side="left"))
+            here = at[:lanes] + np.arange(first, min(first + LAID, int(size[0])))[:, None]
+            inside = here < (at + size)[:lanes]
+            here = np.minimum(here, len(columns) - 1)
+            read = columns[here]
+            goes_on = np.where(start[here], 0, 1).astype(np.int32)
+            change = np.zeros(here.shape, np.int16)
+            for i, each in enumerate(read):
+                live = int(np.searchsorted(-size, -(first + i), side="left"))
+                moved = self._step(state[:live] * goes_on[i, :live], each[:live])
+                state[:live] = moved >> 9
+                change[i, :live] = (moved & 511) - 256
+            total[:lanes] += change.sum(0)
+            if out is not None:
+                out[here[inside]] = change[inside]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return [self.states[x] for x in state[back]], total[back]
+
     def _pieces(self, raw: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Tokens counted in each byte's transition, summed so far, for bytes with the begins of pieces."""
         n = len(raw)
@@ -187,29 +252,38 @@ class Counter:
         fresh = start[cuts]
         columns = self._columns(raw)
         out = np.zeros(n, np.int16)
-        left = np.zeros(len(cuts), np.int32)
-        wave = np.cumsum(np.ones(len(cuts), np.int64)) - 1
-        wave -= np.maximum.accumulate(np.where(fresh, wave, 0))
-        order = np.argsort(wave, kind="stable")
-        for chunks in np.split(order, np.flatnonzero(np.diff(wave[order])) + 1):
-            chunks = chunks[np.argsort(-lengths[chunks], kind="stable")]
-            state = np.where(fresh[chunks], 0, left[chunks - 1])
-            at, size = cuts[chunks], lengths[chunks]
-            for first in range(0, int(size[0]), LAID):
-                lanes = int(np.searchsorted(-size, -first, side="left"))
-                here = at[:lanes] + np.arange(first, min(first + LAID, int(size[0])))[:, None]
-                inside = here < (at + size)[:lanes]
-                here = np.minimum(here, n - 1)
-                read = columns[here]
-                goes_on = np.where(start[here], 0, 1).astype(np.int32)
-                change = np.zeros(here.shape, np.int16)
-                for i, each in enumerate(read):
-                    live = int(np.searchsorted(-size, -(first + i), side="left"))
-                    moved = self._step(state[:live] * goes_on[i, :live], each[:live])
-                    state[:live] = moved >> 9
-                    change[i, :live] = (moved & 511) - 256
-                out[here[inside]] = change[inside]
-            left[chunks] = state
+        entry = [self.states[0]] * len(cuts)
+        inner = np.flatnonzero(~fresh)
+        if not len(inner):
+            self._run(columns, start, cuts, lengths, entry, out)
+            return np.cumsum(out, dtype=np.int64)
+        back = np.minimum(LOOK, cuts[inner])
+        guessed, _ = self._run(columns, start, cuts[inner] - back, back, [self.states[0]] * len(inner))
+        for k, x in zip(inner.tolist(), guessed, strict=True):
+            entry[k] = x
+        exits, totals = self._run(columns, start, cuts, lengths, entry, out)
+        maps: list[Map] = [{e: (x, c)} for e, x, c in zip(entry, exits, totals.tolist(), strict=True)]
+        # Maps of the chunks within a piece take in every state in which the chunk before them may be left.
+        todo = [(k, exits[k - 1]) for k in inner.tolist() if exits[k - 1] not in maps[k]]
+        while todo:
+            ks = np.array([k for k, _ in todo])
+            left, counted = self._run(columns, start, cuts[ks], lengths[ks], [x for _, x in todo])
+            for (k, x), y, c in zip(todo, left, counted.tolist(), strict=True):
+                maps[k][x] = (y, c)
+            after = {(k + 1, y) for (k, _), y in zip(todo, left, strict=True) if k + 1 < len(cuts) and not fresh[k + 1]}
+            todo = [(k, y) for k, y in after if y not in maps[k]]
+        # Pieces that go on over chunks: a first chunk that begins fresh, and those after it.
+        wrong = []
+        for chain in np.split(np.arange(len(cuts)), np.flatnonzero(fresh)[1:]):
+            if len(chain) > 1:
+                first = chain[0]
+                scanned = prefixes([{entry[first]: maps[first][entry[first]]}, *(maps[k] for k in chain[1:-1])])
+                for k, before in zip(chain[1:].tolist(), scanned, strict=True):
+                    if (true := before[entry[first]][0]) != entry[k]:
+                        wrong.append((k, true))
+        if wrong:
+            ks = np.array([k for k, _ in wrong])
+            self._run(columns, start, cuts[ks], lengths[ks], [x for _, x in wrong], out)
         return np.cumsum(out, dtype=np.int64)
 
     def count(self, texts: list[str | None]) -> list[int]:

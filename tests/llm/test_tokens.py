@@ -81,6 +81,32 @@ def test_counts_survive_new_tables_and_small_chunks(library, monkeypatch):
     assert [n for t in range(0, 400, 20) for n in counter.count(texts[t : t + 20])] == expected
 
 
+@pytest.mark.parametrize("chunk, look", [(7, 0), (16, 3), (64, 64)])
+def test_counts_within_long_pieces(library, monkeypatch, chunk, look):
+    """Guesses of the entry state that are often wrong, and pieces over very many chunks."""
+    monkeypatch.setattr(token_count, "CHUNK", chunk)
+    monkeypatch.setattr(token_count, "LOOK", look)
+    rng = random.Random(chunk)
+    counter = token_count.Counter(bpe.Merges.read(FILE))
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 400))) + " ab " * rng.randint(0, 3) for _ in range(80)]
+    texts += ["the" * 700 + " and " + "x" * 900, "aé" * 500, "0123456789" * 90]
+    assert counter.count(texts) == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_megabyte_without_a_break(library):
+    rng = random.Random(4)
+    counter = token_count.Counter(bpe.Merges.read(FILE))
+    long = "".join(rng.choice(["tion", "the", "ing", "er", "an", "on", "ly", "re"]) for _ in range(400_000))
+    odd = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    assert counter.count([long, odd]) == [len(library.encode(t, add_special_tokens=False).ids) for t in (long, odd)]
+
+
+def test_scan_composes_maps_in_order():
+    maps = [{"a": ("b", 1)}, {"b": ("a", 2), "c": ("c", 9)}, {"a": ("c", 3), "c": ("a", 4)}, {"c": ("b", 5), "a": ("a", 1)}, {"b": ("c", 7)}]
+    got = token_count.prefixes(maps)
+    assert [m["a"] for m in got] == [("b", 1), ("a", 3), ("c", 6), ("b", 11), ("c", 18)]
+
+
 DOCS = "doc_id long, text string, ids string, n_tokens int, window string"
 
 
