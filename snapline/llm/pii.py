@@ -30,12 +30,16 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
-#: Score of a proposal of an added kind, what a passed checksum adds, and what a word nearby adds; kept from KEEP on.
-PRIOR = {"iban": 0.2, "ssn": 0.3, "account": 0.1}
+#: Score of a proposal, what a passed checksum adds, and what a word nearby adds; added kinds are kept from KEEP on.
+PRIOR = {"email": 0.7, "ip": 0.4, "card": 0.2, "phone": 0.4, "iban": 0.2, "ssn": 0.3, "account": 0.1}
 CHECKED, NEARBY, AGAINST, KEEP = 0.5, 0.3, -0.4, 0.6
 #: Characters before and after a span in which its words count.
 REACH = 48
 WORDS = {
+    "email": re.compile(r"mail|contact|kontakt|correo", re.I),
+    "ip": re.compile(r"\bip\b|server|host|address|adresse", re.I),
+    "card": re.compile(r"card|visa|credit|karte|carte|tarjeta", re.I),
+    "phone": re.compile(r"phone|tel\b|telefon|mobile|call|fax", re.I),
     "iban": re.compile(r"iban|konto|compte|cuenta|account|bank", re.I),
     "ssn": re.compile(r"ssn|social security", re.I),
     "account": re.compile(r"card|visa|credit|karte|carte|tarjeta", re.I),
@@ -81,30 +85,34 @@ def score(text: str, kind: str, start: int, end: int, checked: bool) -> float:
 def find(text: str | None) -> list[Span]:
     """All spans of a text, by kind in the order of KINDS, then by start; code points, end exclusive. Null: none.
 
-    Spans of the base have a score of 1: their own check has settled them.
+    All are scored. Spans of the base stay whatever their score.
     """
     if not text:
         return []
-    spans = [Span("email", s, e, 1.0) for s, e in emails(text)]
+
+    def base(kind: str, span: tuple[int, int], checked: bool = False) -> Span:
+        return Span(kind, *span, score(text, kind, *span, checked))
+
+    spans = [base("email", x) for x in emails(text)]
     if not any(c in text for c in "0123456789"):
         return spans
     digits = []
     for m in IP.finditer(text):
         parts = m.group().split(".")
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts):
-            spans.append(Span("ip", *m.span(), 1.0))
+            spans.append(base("ip", m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() < 13:
             continue
         number = m.group().replace(" ", "").replace("-", "")
         if 16 <= len(number) <= 19 and luhn(number):
-            spans.append(Span("card", *m.span(), 1.0))
+            spans.append(base("card", m.span(), True))
         elif 13 <= len(number) <= 15:
             digits.append((*m.span(), number))
     if "+" in text:
         for m in PHONE.finditer(text):
             if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
-                spans.append(Span("phone", *m.span(), 1.0))
+                spans.append(base("phone", m.span()))
     proposed = []
     for m in IBAN.finditer(text):
         code = m.group().replace(" ", "")
@@ -140,16 +148,18 @@ def _row(text):
     spans = find(text)
     counts = [sum(x.kind == k for x in spans) for k in BASE_KINDS]
     base = listed([x for x in spans if x.kind in BASE_KINDS])
-    return *counts, hashlib.sha256(base.encode()).hexdigest(), listed(spans), min((x.score for x in spans), default=None)
+    scores = ",".join(f"{x.score:.1f}" for x in spans)
+    return *counts, hashlib.sha256(base.encode()).hexdigest(), listed(spans), scores, min((x.score for x in spans), default=None)
 
 
 def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document: ``keep``, counts of the base kinds, base_sha256, all spans as text and the lowest score.
+    """Per document: ``keep``, counts of the base kinds, base_sha256, all spans as text, their scores and the lowest.
 
-    Null and empty texts have no spans. Rows that repeat give repeated results. One pass, nothing is shuffled.
+    Null and empty texts have no spans, an empty table gives no rows. Rows that repeat give repeated results, and no
+    column beside ``keep`` and text is read. One pass, nothing is shuffled.
     """
     fields = [(f"n_{k}", "long") for k in BASE_KINDS]
-    fields += [("base_sha256", "string"), ("spans", "string"), ("least_score", "double")]
+    fields += [("base_sha256", "string"), ("spans", "string"), ("scores", "string"), ("least_score", "double")]
     empty = [[] for _ in fields]
     return map_texts(
         docs, list(keep), fields, lambda texts: [list(v) for v in zip(*map(_row, texts), strict=True)] or empty

@@ -240,3 +240,14 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert pii.personal_data(docs).count() == pii.redacted(docs).count() == secret_scan.scan(docs).count() == 0
     assert quality.judge(docs, labels).count() == quality.filtered(docs, labels).count() == 0
+
+
+def test_words_nearby_move_the_score_of_every_kind():
+    for kind, value, word in (
+        ("email", "a.b@example.org", "mail: "), ("ip", "10.0.0.1", "server "), ("card", "4111 1111 1111 1111", "visa "), ("phone", "+49 30 1234567", "phone "),
+    ):
+        plain, near, doubtful = (pii.find(x + value)[0] for x in ("it is ", word, "sample " if kind != "email" else "version "))
+        assert {plain.kind, near.kind, doubtful.kind} == {kind}
+        assert near.score > plain.score > doubtful.score >= 0, kind
+    row = pii._row("mail: a@b.de, server 10.0.0.1")
+    assert row[5] == "email:6:12,ip:21:29" and row[6] == "1.0,0.7" and row[7] == pytest.approx(0.7)
