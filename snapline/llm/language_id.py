@@ -22,6 +22,8 @@ from .common import map_texts, ship_code, steps, written
 FEATURES = 1 << 16
 LENGTHS = (1, 2, 3)
 UNKNOWN = "und"
+#: Shares that each language's rows are drawn from.
+SHARES = 64
 
 
 class Settings(NamedTuple):
@@ -140,14 +142,18 @@ class Model(NamedTuple):
 
 def sample(usable: DataFrame, languages: int, settings: Settings) -> DataFrame:
     """The rows that are trained on, with their draw: none twice, and at least one of each of the ``languages``."""
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
     keys = usable.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("draw")).distinct()
-    drawn = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= settings.per_language)
+    # A language is cut down in shares first, so that one with most of the rows isn't a single task's work.
+    share = F.pmod("draw", F.lit(SHARES))
+    for by in (Window.partitionBy("lang", share), Window.partitionBy("lang")):
+        number = F.row_number().over(by.orderBy("draw", "doc_id"))
+        keys = keys.withColumn("n", number).where(F.col("n") <= settings.per_language)
+    drawn = keys
     # Each language's first row comes before any second one, so the sample holds every language.
     most = max(settings.sample, languages)
     drawn = written(drawn.orderBy("n", "draw", "lang").limit(most).select("doc_id", "draw", "lang"), "language-sample")
     by = ["doc_id", "draw", "lang"]
-    rows = usable.withColumn("draw", F.xxhash64("doc_id", "text")).join(F.broadcast(drawn), by, "left_semi")
+    rows = usable.withColumn("draw", F.xxhash64("doc_id", "text")).join(drawn, by, "left_semi")
     return rows.dropDuplicates(by)
 
 
@@ -204,7 +210,8 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, lang_pred and score of every whole text; texts without a letter are ``und`` with score 0.
 
-    Without any language learnt every text is ``und``. The model is broadcast: FEATURES x (languages + 1) numbers.
+    Of languages that score alike the first by name is taken. No column beside ``keep`` and text is read. Without any
+    language learnt every text is ``und``. The model is broadcast: FEATURES x (languages + 1) numbers.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,5 +1,6 @@
 """Near duplicates, repeated strings, top-k search and languages against brute force; the pipeline."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from snapline.llm import components, language_id, simhash, substrings, topk
@@ -282,3 +284,101 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == simhash.deduplicated(docs).count() == 0
     assert substrings.without_repeats(docs).count() == substrings.cleaned(docs).count() == 0
+
+
+def plain_ftrl(rows, classes, s):
+    """Follow the regularised leader, coordinate by coordinate."""
+    z, n = {}, {}
+
+    def weight(c, i):
+        zi = z.get((c, i), 0.0)
+        if abs(zi) <= s.l1:
+            return 0.0
+        return -(zi - math.copysign(s.l1, zi)) / ((s.beta + math.sqrt(n.get((c, i), 0.0))) / s.alpha + s.l2)
+
+    for _ in range(s.rounds):
+        for at, value, label in rows:
+            now = {(c, i): weight(c, i) for c in range(classes) for i in at}
+            scores = [sum(now[c, i] * v for i, v in zip(at, value)) for c in range(classes)]
+            top = max(scores)
+            e = [math.exp(x - top) for x in scores]
+            for c in range(classes):
+                error = e[c] / sum(e) - (c == label)
+                for i, v in zip(at, value):
+                    g, before = error * v, n.get((c, i), 0.0)
+                    z[c, i] = z.get((c, i), 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / s.alpha * now[c, i]
+                    n[c, i] = before + g * g
+    return {(c, i): weight(c, i) for c, i in z}
+
+
+def test_training_matches_plain_steps():
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        at = sorted(rng.sample(range(40), 9))
+        value = [rng.random() + (i % 3 == k % 3) for i in at]
+        norm = math.sqrt(sum(v * v for v in value))
+        rows.append((np.array(at), np.array(value) / norm, k % 3))
+    s = language_id.Settings(l1=0.05, calibrate=0.2)
+    full, temperature = language_id.train(rows, 3, s)
+    plain = plain_ftrl([(at.tolist(), v.tolist(), c) for at, v, c in rows[:48]], 3, s)
+    assert any(w == 0 for w in plain.values())
+    assert all(full[c, i] == pytest.approx(w, abs=1e-9) for (c, i), w in plain.items())
+    assert np.count_nonzero(full) == sum(w != 0 for w in plain.values())
+
+    def loss(t):
+        out = 0.0
+        for at, v, label in rows[48:]:
+            x = full[:, at] @ v / t
+            out -= x[label] - x.max() - math.log(np.exp(x - x.max()).sum())
+        return out
+
+    assert loss(temperature) <= min(loss(0.05 * 1.02**i) for i in range(300)) + 1e-4
+
+
+def test_weights_of_a_text_match_plain_counts(spark):
+    texts = ["Der Hund", "the dog and the cat", "", "el perro", None, "the end", "ÄÖ ß " * 9000]  # the last beyond 8,192 n-grams
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {r.feature: r.n for r in language_id.document_frequencies(df).collect()}
+    one = lambda g: int(language_id.grams(g)[0][-1])
+    names = {}
+    for t in filter(None, texts):
+        low = t.lower()
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                names.setdefault(low[i : i + n], None)
+    number = {}
+    for g in names:
+        at, counts = language_id.grams(g)
+        shorter = [x for n in range(1, len(g)) for i in range(len(g) - n + 1) for x in [g[i : i + n]]]
+        rest = Counter(number[x] for x in shorter)
+        number[g] = next(int(a) for a, c in zip(at, counts) if c > rest.get(int(a), 0))
+    plain = Counter()
+    for t in filter(None, texts):
+        low = t.lower()
+        plain.update({number[low[i : i + n]] for n in (1, 2, 3) for i in range(len(low) - n + 1)})
+    total = found.pop(-1)
+    assert total == 5 and found == plain and one("d") == number["d"]
+    idf = np.full(language_id.FEATURES, math.log(1 + total))
+    for f, n in plain.items():
+        idf[f] = math.log((1 + total) / (1 + n)) + 1e-3
+    for t in filter(None, texts):
+        low = t.lower()
+        counts = Counter(number[low[i : i + n]] for n in (1, 2, 3) for i in range(len(low) - n + 1))
+        raw = {f: (1 + math.log(c)) * idf[f] for f, c in counts.items()}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        at, value = language_id.weighted(t, idf)
+        assert dict(zip(at.tolist(), value.tolist())) == pytest.approx({f: v / norm for f, v in raw.items()}, abs=1e-9)
+
+
+def test_languages_beside_clashing_columns_and_a_hot_one(spark):
+    rows = [(i, ("the cat and the dog " if i % 10 else "der Hund und die Katze ") * 3 + str(i), "en" if i % 10 else "de", 1, "x", 2.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, feature int, lang_pred string, score double")
+    model = language_id.fit(df, language_id.Settings(per_language=30))
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, model).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+    usable = df.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    sample = language_id.sample(usable, 2, language_id.Settings(per_language=30)).collect()
+    draws = {r["doc_id"]: (r["draw"], r["lang"]) for r in usable.withColumn("draw", F.xxhash64("doc_id", "text")).collect()}
+    want = [k for c in ("en", "de") for k in sorted((k for k, v in draws.items() if v[1] == c), key=lambda k: (draws[k][0], k))[:30]]
+    assert sorted(r["doc_id"] for r in sample) == sorted(want)
