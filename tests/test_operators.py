@@ -275,3 +275,19 @@ def test_binned_density_is_close_to_the_kernel_sum(spark):
         exact = sum(math.exp(-0.5 * ((r.x - v) / band) ** 2) for v in values) / (len(values) * band * math.sqrt(2 * math.pi))
         assert abs(r.density - exact) <= bound
     assert len(rows_) == 64
+
+
+@pytest.mark.parametrize("k", [1500, 2000])
+def test_top_of_groups_beyond_the_group_limit(spark, k):
+    random.seed(k)
+    data = [("hot" if i % 4 else random.choice(["a", None]), random.choice([None, round(random.gauss(0, 1e6), 1), float(random.randrange(40)), 1e-9 * i]), i) for i in range(9000)]
+    df = spark.createDataFrame(data, "g string, x double, id long").repartition(6)
+    got = sorted(r["id"] for r in topn.top_n(df, k, "x", ["g"]).collect())
+    want = []
+    for g in ("hot", "a", None):
+        line = sorted((r[1] for r in data if r[0] == g and r[1] is not None), reverse=True)
+        kth = line[min(k, len(line)) - 1]
+        want += [r[2] for r in data if r[0] == g and r[1] is not None and r[1] >= kth]
+    assert got == sorted(want) and len(want) >= k
+    plan = topn.top_n(df, k, "x", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
