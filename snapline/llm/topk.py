@@ -2,8 +2,8 @@
 
 Vectors are cut to cells of equal width in each component, a byte each, and stored in blocks. A scan of the cells gives
 every candidate an upper and a lower bound of its inner product with a query; only candidates whose upper bound reaches
-the k-th lower bound go on. Their exact vectors are then read from the highest upper bound down, until the k-th result
-can't be beaten.
+the k-th lower bound go on. Exact vectors are then read in two rounds, from the highest upper bounds down: the first gives
+each query a k-th score, the second reads only what may still reach it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import ship_code, written
 
 #: Vectors in a block of cells, blocks that a task scans together, and queries in a block.
 BLOCK, TOGETHER, QUERIES = 4096, 16, 512
+#: Candidates read in the first round, times k.
+FIRST = 2
 
 
 def whole_numbers(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -145,24 +147,40 @@ def reach(part: pd.DataFrame, k: int) -> pd.DataFrame:
     return part[part["upper"] >= part["q"].map(least).fillna(-math.inf)]
 
 
-def read_down(part: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of one query: exact vectors are read by falling upper bound until the k-th can't be beaten."""
-    part = part.sort_values(["upper", "_key", "_row"], ascending=[False, True, True], na_position="last")
-    x = np.frombuffer(part["qx"].iloc[0], "<i4").astype(np.int64)
-    best: list[tuple] = []
-    for upper, key, row, y in zip(part["upper"], part["_key"], part["_row"], part["x"], strict=True):
-        if len(best) == k and upper < -best[-1][0]:
-            break
-        score = int(product(x[None], np.frombuffer(y, "<i4").astype(np.int64)[None])[0, 0])
-        best = sorted([*best, (-score, pd.isna(key), 0 if pd.isna(key) else int(key), row)])[:k]
-    return pd.DataFrame(
-        {
-            "query_id": pd.array([part["query_id"].iloc[0]] * len(best), "Int64"),
-            "rank": np.arange(1, len(best) + 1, dtype=np.int32),
-            "vec_id": pd.array([None if b[1] else b[2] for b in best], "Int64"),
-            "score": np.array([-b[0] for b in best], np.int64),
-        }
-    )
+def best_of(rows: DataFrame, k: int, value: str, ties: list) -> DataFrame:
+    """The k rows of each query with the highest ``value``; each task cuts its own before the shuffle."""
+    order = Window.partitionBy("q").orderBy(F.col(value).desc(), *ties)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def still_reaching(rows: DataFrame, scored: DataFrame, k: int, value: str) -> DataFrame:
+    """Rows whose upper bound reaches the k-th highest ``value`` of their query in ``scored``; all where it has fewer."""
+    least = best_of(scored.select("q", value), k, value, []).groupBy("q").agg(F.min(value).alias("_least"), F.count("*").alias("_n"))
+    met = rows.join(least, "q", "left")
+    return met.where(F.col("_n").isNull() | (F.col("_n") < k) | (F.col("upper") >= F.col("_least"))).drop("_least", "_n")
+
+
+def exact_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Columns q, _row, _key and score for pairs of a query's row and a candidate's, read with their exact vectors."""
+    own = vectors.select(F.col("_row").alias("q"), F.col("x").alias("qx"))
+    met = pairs.select("q", "_row").join(vectors.select("_row", "_key", "x"), "_row").join(own, "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, qs = batch.column("x").to_pylist(), batch.column("qx").to_pylist()
+            scores = np.zeros(len(xs), np.int64)
+            sizes = np.fromiter(map(len, xs), np.int64, len(xs))
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                a, b = (np.frombuffer(b"".join(v[i] for i in at), "<i4").reshape(len(at), -1).astype(np.int64) for v in (xs, qs))
+                if size and float(np.abs(a).max()) * float(np.abs(b).max()) * (size / 4) >= 2**63:
+                    raise OverflowError("an inner product may leave 64 bits")
+                scores[at] = (a * b).sum(1)
+            arrays = [batch.column(c) for c in ("q", "_row", "_key")] + [pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(arrays, ["q", "_row", "_key", "score"])
+
+    columns = met.select("q", "_row", "_key", "x", "qx")
+    return columns.mapInArrow(run, "q long, _row long, _key long, score long")
 
 
 def search(
@@ -172,7 +190,7 @@ def search(
     key: str = "vec_id",
     vector: str = "embedding",
     scale: int = 256,
-    bits: int = 6,
+    bits: int = 8,
 ) -> DataFrame:
     """Columns query_id, rank, vec_id, score: the k highest inner products of every query with all other rows.
 
@@ -205,13 +223,14 @@ def search(
         .applyInPandas(lambda a, b: scan(a, b, shift, k), schema)
     )
     found = written(found, "topk-bounds")
-    reached = found.groupBy("q").applyInPandas(lambda p: reach(p, k), schema)
-    exact = reached.join(all_rows.select("_row", "_key", "x"), "_row").join(
-        asked.select(F.col("_row").alias("q"), F.col("_key").alias("query_id"), F.col("x").alias("qx")), "q"
-    )
-    return exact.groupBy("q").applyInPandas(
-        lambda p: read_down(p, k), "query_id long, rank int, vec_id long, score long"
-    )
+    reached = written(still_reaching(found, found, k, "lower"), "topk-reached")
+    first = best_of(reached, FIRST * k, "upper", ["_row"]).select("q", "_row")
+    read = written(exact_scores(first, all_rows), "topk-first")
+    rest = still_reaching(reached, read, k, "score").join(read, ["q", "_row"], "left_anti")
+    scored = read.unionByName(exact_scores(rest, all_rows))
+    names = asked.select(F.col("_row").alias("q"), F.col("_key").alias("query_id"))
+    best = best_of(scored, k, "score", [F.col("_key").asc_nulls_last(), F.col("_row").asc()])
+    return best.join(names, "q").select("query_id", "rank", F.col("_key").alias("vec_id"), "score")
 
 
 def _largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
