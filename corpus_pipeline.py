@@ -44,16 +44,22 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, path, public_tokenizers.PATTERN, SEQUENCE)
 
 
-#: Scratch tables of the stage that was called last.
+#: Scratch tables of the stages called so far that are still there.
 _scratch: list[str] = []
 
 
 def _tidied(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, which first deletes the scratch tables of the one before: a stage's result is written before the next
-    stage is called."""
+    """The stage, which first deletes the scratch tables of the stages before that ``docs`` doesn't read.
+
+    A stage's result is written before the next stage is called, so these are done with.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _scratch)
+        if _scratch:
+            files = docs.inputFiles()
+            needed = [path for path in _scratch if any(f"{path.rpartition('/')[2]}/" in f for f in files)]
+            drop_tables(docs.sparkSession, [path for path in _scratch if path not in needed])
+            _scratch[:] = needed
         with recorded() as paths:
             out = stage(spark, docs, sf_dir)
         _scratch.extend(paths)
