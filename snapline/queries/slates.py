@@ -144,7 +144,9 @@ def _exact(score: str) -> str:
     return f"CAST(round(round({score}, 6) * 1000000) AS BIGINT) * 65536 - salary AS gain"
 
 
-_POINTS = "(total + cost) // 65536 / 1000000.0 AS lineup_points"
+# Millionths to four digits, halves away from zero.
+_MILLIONTHS = "((total + cost) // 65536)"
+_POINTS = f"sign({_MILLIONTHS}) * ((abs({_MILLIONTHS}) + 50) // 100) / 10000.0 AS lineup_points"
 
 
 def _groups_sql(name: str, pool: str, key: str, part: str, n: int, room: str | None) -> str:
