@@ -78,6 +78,11 @@ SIMULATED = f"{PLAYERS}, {_draws('sim', SEED, 1.0)}, {_linked('sim')}"
 PICKED = f"{_draws('pick', LINEUP_SEED, 0.0)}, {_linked('pick')}"
 
 
+def _four_digits(millionths: str) -> str:
+    """Whole millionths as a number of four digits, halves away from zero."""
+    return f"sign({millionths}) * ((abs({millionths}) + 50) // 100) / 10000.0"
+
+
 def _best_sql(name: str, source: str) -> str:
     """Best lineup per slate: pool cut by counting dominators pair by pair, then plain combinations."""
     need = {"QB": 1, "RB": 3, "WR": 4, "TE": 2, "DST": 1}
@@ -122,7 +127,7 @@ def _best_sql(name: str, source: str) -> str:
     parts.append(f"{name}_core AS MATERIALIZED ({reduced(' UNION ALL '.join(shapes))})")
     parts.append(f"{name}_qd AS MATERIALIZED ({reduced(pair(f'{name}_QB1', f'{name}_DST1'))})")
     parts.append(
-        f"{name}_best AS MATERIALIZED (SELECT slate, max(total) AS lineup_points, arg_max(cost, total) AS lineup_salary, "
+        f"{name}_best AS MATERIALIZED (SELECT slate, {_four_digits('CAST(round(max(total) * 1000000) AS BIGINT)')} AS lineup_points, arg_max(cost, total) AS lineup_salary, "
         f"arg_max(members, total) AS members FROM ({pair(f'{name}_core', f'{name}_qd')}) GROUP BY slate)"
     )
     parts.append(
@@ -144,9 +149,7 @@ def _exact(score: str) -> str:
     return f"CAST(round(round({score}, 6) * 1000000) AS BIGINT) * 65536 - salary AS gain"
 
 
-# Millionths to four digits, halves away from zero.
-_MILLIONTHS = "((total + cost) // 65536)"
-_POINTS = f"sign({_MILLIONTHS}) * ((abs({_MILLIONTHS}) + 50) // 100) / 10000.0 AS lineup_points"
+_POINTS = f"{_four_digits('((total + cost) // 65536)')} AS lineup_points"
 
 
 def _groups_sql(name: str, pool: str, key: str, part: str, n: int, room: str | None) -> str:
