@@ -10,7 +10,7 @@ from ..functions.text import extract_first, remove_first, trim_space
 from ..operators.joins import natural_join
 from ..operators.ordering import best_first
 from ..operators.reshape import with_keys
-from ..session import cut_lineage
+from ..session import cut_lineage, evenly
 from .simulate import SHOWDOWN, SHOWDOWN_FLOOR, covered_by, draw_scores, link_to_passers
 
 # Spreads used where the projections have none, and the captain's multiple.
@@ -32,12 +32,12 @@ def convert_feed(feed: DataFrame, boom_bust: DataFrame, keep_known: bool = False
     flex = read.where(F.col("pos") != "CPTN").select("name", "fc_name", "pos", "team", "opp", "salary")
     captain = natural_join(
         read.where(F.col("pos") == "CPTN").select("name", "fc_name", "team", "opp"), flex, "left",
-        ["name", "team", "opp"],
+        ["name", "team", "opp"], grows=True,
     ).select("name", F.col("`fc_name.x`").alias("fc_name"), "pos", "team", "opp", "salary")
     known = boom_bust.select(
         "name", "team", "opp", F.col("position").alias("pos"), F.col("projection").alias("fpts"), "std_dev"
     )
-    both = natural_join(captain.unionByName(flex), known, "left", ["name", "team", "opp", "pos"])
+    both = natural_join(captain.unionByName(flex), known, "left", ["name", "team", "opp", "pos"], grows=True)
     is_cpt = F.col("fc_name").rlike("- CPTN")
     times = F.when(is_cpt, CAPTAIN).otherwise(1.0)
     priced = both.select(
@@ -48,7 +48,7 @@ def convert_feed(feed: DataFrame, boom_bust: DataFrame, keep_known: bool = False
         (F.coalesce("std_dev", F.lit(SPREAD_UNMATCHED)) * times).alias("std_dev"),
     )
     own = read.select(F.col("player").alias("player_id"), "team", "my_proj")
-    out = natural_join(priced, own, "left", ["player_id", "team"])
+    out = natural_join(priced, own, "left", ["player_id", "team"], grows=True)
     filled = F.coalesce("fpts_proj", "my_proj")
     return out.withColumns({"known_proj": F.col("fpts_proj"), "fpts_proj": filled} if keep_known else {"fpts_proj": filled}).drop(
         "my_proj"
@@ -102,19 +102,28 @@ def simulate_showdown(
     chosen = converted.withColumnRenamed("fpts_proj", "projection")
     if teams is not None:
         chosen = chosen.where(is_in("team", teams))
-    # One row per player and role, read three times below; the simulated slates multiply it later.
-    chosen = cut_lineage(matchup_of(default_spread(chosen)))
+    # One row per player and role, read three times below; the simulated slates multiply it later. A player's rows are
+    # drawn in one task, so that means per slate are made there; a null id is a player too.
+    home = ["matchup", "_player", "_unknown"]
+    chosen = matchup_of(default_spread(chosen)).withColumns(
+        {"_player": F.coalesce("player_id", F.lit("")), "_unknown": F.col("player_id").isNull()}
+    )
+    chosen = cut_lineage(chosen)
     flex = chosen.where(F.col("position") != "CPTN")
     row = ("player_id", "team", "pos")
-    drawn = draw_scores(flex, slates, seed, randomness, SHOWDOWN_FLOOR, key=row)
+    drawn = draw_scores(flex, slates, seed, randomness, SHOWDOWN_FLOOR, key=row, home=home)
     linked = link_to_passers(drawn, SHOWDOWN, key=row)
-    mean = linked.groupBy("slate", "matchup", "player_id").agg(F.avg("new_proj").alias("_mean"))
+    mean = linked.groupBy("slate", *home).agg(F.avg("new_proj").alias("_mean"))
+    # Every player has all slates, so the sorted means are found by the slate's number.
+    means = mean.groupBy(*home).agg(F.sort_array(F.collect_list(F.struct("slate", "_mean"))).alias("_means"))
     # Captain and flex rows never share all join columns, so joining them fully is a padded union: the
     # flex rows the link covers and every captain row. Both take the player's mean flex score.
-    kept = with_keys(chosen.where((F.col("position") == "CPTN") | covered_by(SHOWDOWN)), "slate", slates)
-    joined = natural_join(
-        kept.select("slate", "matchup", "player_id", "player", "salary", "team", "position", "pos"), mean, "left",
-        ["slate", "matchup", "player_id"],
+    kept = chosen.where((F.col("position") == "CPTN") | covered_by(SHOWDOWN)).select(
+        *home, "player_id", "player", "salary", "team", "position", "pos"
+    )
+    joined = with_keys(evenly(kept, *home).join(means.hint("merge"), home, "left"), "slate", slates).select(
+        "slate", "matchup", "player_id", "player", "salary", "team", "position", "pos",
+        F.get("_means", F.col("slate") - 1)["_mean"].alias("_mean"),
     )
     score = F.when(F.col("position") == "CPTN", F.col("_mean") * CAPTAIN).otherwise(F.col("_mean"))
     out = joined.withColumn("fpts_proj", score).drop("_mean")
