@@ -106,3 +106,25 @@ def test_a_closer_reach_only_rises(spark):
 
     got = {r.slate: r.reach for r in lineups._closer_reach(known, ["slate"], 2, search).collect()}
     assert got == {1: 12, 2: 30, 3: None, 4: 5} and sorted(asked) == [1, 2, 4]
+
+
+def test_one_position_of_a_wide_range_does_not_set_the_price(spark):
+    # Two of x and one of y under a cap of 10000; the last y is very far behind, as a defence is that faces many passers.
+    x = [(c, 1000 * (c - 1000) ** 0.5) for c in range(1000, 9000, 500)]
+    y = [(3000, 0.0), (3500, -1e10)]
+    made = [(1, of, float(c), float(g)) for of, rows in (("x", x), ("y", y)) for c, g in rows]
+    pool = spark.createDataFrame(made, "slate int, of string, cost double, gain double")
+
+    def bounds(prices):
+        worth = F.max(F.col("gain") - F.col("price") * F.col("cost")).alias("worth")
+        tops = pool.join(prices, "slate").groupBy("slate", "price", "of").agg(worth)
+        twice = F.when(F.col("of") == "x", 2 * F.col("worth")).otherwise(F.col("worth"))
+        return tops.groupBy("slate", "price").agg((F.col("price") * 10000.0 + F.sum(twice)).alias("u"))
+
+    def bound(price):
+        return price * 10000 + 2 * max(g - price * c for c, g in x) + max(g - price * c for c, g in y)
+
+    least = min(bound(i / 50) for i in range(5000))
+    found = lineups._cheapest_bound(pool, ["slate"], 10000, bounds).first()
+    assert found.price > 0 and bound(0) - least > 1000
+    assert found.u - least < (bound(0) - least) / 50
